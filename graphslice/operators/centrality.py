@@ -27,6 +27,7 @@ class Clustering(NamedTuple):
 
 
 class PageRank(NamedTuple):
+    ranks: DataFrame
     by_label: DataFrame
     top: DataFrame
 
@@ -217,4 +218,4 @@ def top_ranks(ranks: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 def page_rank_aggregation(source: GraphSlice | PropertyGraph, iterations: int) -> PageRank:
     """3c: the rank of users against products, and the top vertices."""
     ranks = page_rank(source, iterations)
-    return PageRank(rank_by_label(ranks), top_ranks(ranks))
+    return PageRank(ranks, rank_by_label(ranks), top_ranks(ranks))
