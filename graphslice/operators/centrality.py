@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.model import GraphSlice, PropertyGraph, as_slice
-from graphslice.operators.views import Undirected, number_vertices, numbered_pairs
+from graphslice.operators.views import Undirected, number_vertices, numbered_hot, numbered_pairs
 from graphslice.plans import skew
 from graphslice.plans.workspace import Workspace, literal_rows
 
@@ -56,11 +56,7 @@ def _triangles_by_number(view: Undirected, numbers: DataFrame) -> DataFrame:
     each = ahead.filter(F.size("ahead") > 1).select("u", F.posexplode("ahead").alias("pos", "v"), "ahead")
     rest = F.slice(F.col("ahead"), F.col("pos") + 2, F.size("ahead"))
     wedges = each.filter(F.col("pos") + 1 < F.size("ahead")).select("u", "v", rest.alias("rest"))
-    hot = view.hot
-    if hot is not None:
-        hot = numbers.join(F.broadcast(hot), F.col("id") == F.col("hot_key")).select(
-            F.col("vid").alias("hot_key"), "fan"
-        )
+    hot = numbered_hot(numbers, view.hot)
     closing = skew.salted_join(wedges, ahead.withColumnRenamed("u", "v"), "v", F.col("u"), hot)
     shared = closing.select("u", "v", F.array_intersect("rest", "ahead").alias("w")).filter(F.size("w") > 0)
     corner = lambda vid, n: F.struct(vid.alias("vid"), n.cast("bigint").alias("n"))

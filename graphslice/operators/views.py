@@ -27,10 +27,10 @@ def undirected_pairs(edges: DataFrame, *measure: str) -> DataFrame:
 
 def both_ways(pairs: DataFrame, *measure: str) -> DataFrame:
     """(src, dst) in both directions from distinct pairs; a loop stays one row."""
-    forward = F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))
-    backward = F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
-    ends = F.when(F.col("a") == F.col("b"), F.array(forward)).otherwise(F.array(forward, backward))
-    return pairs.select(F.explode(ends).alias("end"), *measure).select("end.src", "end.dst", *measure)
+    other = [f"`{name}`" for name in measure]
+    rows = ", ".join(["a", "b", *other, "true", "b", "a", *other, "a <> b"])
+    names = ", ".join(["src", "dst", *other, "kept"])
+    return pairs.select(F.expr(f"stack(2, {rows}) AS ({names})")).filter("kept").drop("kept")
 
 
 def undirected_edges(source: GraphSlice | PropertyGraph) -> DataFrame:
@@ -112,9 +112,17 @@ def number_vertices(degrees: DataFrame, workspace: Workspace, *order: str) -> Da
 
 
 def numbered_pairs(view: Undirected, numbers: DataFrame) -> DataFrame:
-    """The pairs of ``view`` as vertex numbers (a, b)."""
-    first = numbers.select(F.col("id").alias("a"), F.col("vid").alias("a_vid"))
-    second = numbers.select(F.col("id").alias("b"), F.col("vid").alias("b_vid"))
-    half = skew.salted_join(view.pairs, first, "a", F.col("b"), view.hot)
-    both = skew.salted_join(half, second, "b", F.col("a"), view.hot)
-    return both.select(F.col("a_vid").alias("a"), F.col("b_vid").alias("b"))
+    """The pairs of ``view`` as vertex numbers, with degrees: (a, b, a_degree, b_degree)."""
+    end = lambda name: numbers.select(
+        F.col("id").alias(name), F.col("vid").alias(f"{name}_vid"), F.col("degree").alias(f"{name}_degree")
+    )
+    half = skew.salted_join(view.pairs, end("a"), "a", F.col("b"), view.hot)
+    both = skew.salted_join(half, end("b"), "b", F.col("a"), view.hot)
+    return both.select(F.col("a_vid").alias("a"), F.col("b_vid").alias("b"), "a_degree", "b_degree")
+
+
+def numbered_hot(numbers: DataFrame, hot: DataFrame | None) -> DataFrame | None:
+    """Hot vertices by number instead of id."""
+    if hot is None:
+        return None
+    return numbers.join(F.broadcast(hot), F.col("id") == F.col("hot_key")).select(F.col("vid").alias("hot_key"), "fan")
