@@ -42,23 +42,23 @@ def _triangles_by_number(view: Undirected, numbers: DataFrame) -> DataFrame:
 
     Vertex numbers rise with degree and every pair points at the higher
     number, so a vertex points at no more than sqrt(2 * pairs) others, hubs
-    included. For each pair u -> v the vertices after v that u points at are
-    matched with those that v points at.
+    included, and that is the longest list there can be. For each pair u -> v
+    the list of v travels to u and is matched with the list of u: one row per
+    pair, and each triangle is met once, at its lowest vertex.
     """
     workspace = view.workspace
-    oriented = numbered_pairs(view, numbers).filter(F.col("a") != F.col("b")).select(
-        F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")
+    pairs = numbered_pairs(view, numbers).filter(F.col("a") != F.col("b"))
+    workspace.write(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), "oriented")
+    oriented = workspace.read("oriented", schema="u bigint, v bigint")
+    workspace.write(oriented.groupBy("u").agg(F.collect_list("v").alias("ahead")), "ahead")
+    ahead = workspace.read("ahead", schema="u bigint, ahead array<bigint>")
+
+    # A list of one closes no triangle at its own end but can at the other's.
+    carried = skew.salted_join(
+        oriented, ahead.toDF("v", "theirs"), "v", F.col("u"), numbered_hot(numbers, view.hot)
     )
-    ahead = oriented.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("ahead"))
-    workspace.write(ahead, "ahead")
-    ahead = workspace.read("ahead")
-
-    each = ahead.filter(F.size("ahead") > 1).select("u", F.posexplode("ahead").alias("pos", "v"), "ahead")
-    rest = F.slice(F.col("ahead"), F.col("pos") + 2, F.size("ahead"))
-    wedges = each.filter(F.col("pos") + 1 < F.size("ahead")).select("u", "v", rest.alias("rest"))
-    hot = numbered_hot(numbers, view.hot)
-    closing = skew.salted_join(wedges, ahead.withColumnRenamed("u", "v"), "v", F.col("u"), hot)
-    shared = closing.select("u", "v", F.array_intersect("rest", "ahead").alias("w")).filter(F.size("w") > 0)
+    met = carried.join(ahead.filter(F.size("ahead") > 1), "u")
+    shared = met.select("u", "v", F.array_intersect("theirs", "ahead").alias("w")).filter(F.size("w") > 0)
     corner = lambda vid, n: F.struct(vid.alias("vid"), n.cast("bigint").alias("n"))
     corners = F.concat(
         F.array(corner(F.col("u"), F.size("w")), corner(F.col("v"), F.size("w"))),
@@ -175,7 +175,7 @@ def page_rank(
     schema = start.schema
     hot = skew.find_hot(links, "src", link_count, workspace)
     round_no = 0
-    with skew.Adjacency(links, hot) as adjacency:
+    with skew.Adjacency(links, link_count, hot) as adjacency:
         while round_no < iterations and state["rows"] and state["moved"] > tolerance:
             now = workspace.read(f"rank-{round_no}", schema=schema)
             shares = now.filter("given > 0").select("id", (F.col("rank") / F.col("given")).alias("share"))

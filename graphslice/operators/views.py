@@ -97,7 +97,7 @@ class Undirected:
         return skew.find_hot(self.neighbours, "src", 2 * self.pair_count, self.workspace)
 
     def adjacency(self) -> skew.Adjacency:
-        return skew.Adjacency(self.neighbours, self.hot)
+        return skew.Adjacency(self.neighbours, 2 * self.pair_count, self.hot)
 
 
 def number_vertices(degrees: DataFrame, workspace: Workspace, *order: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Joins and layouts that hold when one key has a third of all rows.
 
 A key is *hot* when it has more rows than ``hot_rows``. There can be no more
-than ``total rows / hot_rows`` such keys, so the table of hot keys is small
-for any input and can be broadcast. Rows of a hot key are spread over ``fan``
+than ``total rows / hot_rows`` such keys (25,000 for 10^11 rows, and where the
+total is known never over 100,000), so the table of hot keys is small for any
+input and can be broadcast. Rows of a hot key are spread over ``fan``
 salts by a hash of another column; the other side of the join is repeated once
 per salt. Nothing is dropped or sampled: every row meets exactly one copy.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +21,25 @@ from graphslice.plans.workspace import Workspace
 # Four million rows of two ids are about one 64 MB shuffle partition.
 DEFAULT_HOT_ROWS = 4_000_000
 
+# No table of hot keys, hubs or landmarks longer than this is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def hot_rows(spark: SparkSession, total: int = 0) -> int:
+    """Rows one key may have in a task; rises with ``total`` so that no more
+    than ``BROADCAST_ROWS`` keys can have more."""
+    limit = int(spark.conf.get("spark.graphslice.hotRows", str(DEFAULT_HOT_ROWS)))
+    return max(limit, total // BROADCAST_ROWS)
+
 
-def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.graphslice.hotRows", str(DEFAULT_HOT_ROWS)))
+def partitions_for(spark: SparkSession, rows: float) -> int:
+    """Enough partitions to hold ``rows`` rows, and at least the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / DEFAULT_HOT_ROWS))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df``, which has at most ``rows`` rows, if that is few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def fan_of(n: Column, limit: int) -> Column:
@@ -38,7 +53,7 @@ def hot_keys(counts: DataFrame, key: str, n: str, limit: int) -> DataFrame:
 
 def find_hot(rows: DataFrame, key: str, total: int, workspace: Workspace) -> DataFrame | None:
     """The hot keys of ``rows``, which has ``total`` rows; None when there are none."""
-    limit = hot_rows(rows.sparkSession)
+    limit = hot_rows(rows.sparkSession, total)
     if total <= limit:
         return None
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -92,10 +107,10 @@ class Adjacency:
     table the rows were read from.
     """
 
-    def __init__(self, rows: DataFrame, hot: DataFrame | None):
+    def __init__(self, rows: DataFrame, total: int, hot: DataFrame | None):
         self.hot = hot
         self.keys = ["src"] if hot is None else ["src", "salt"]
-        n = shuffle_partitions(rows.sparkSession)
+        n = partitions_for(rows.sparkSession, total)
         self.rows = (
             spread(rows, "src", F.col("dst"), hot)
             .repartition(n, *self.keys)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _local_folders: dict[str, str] = {}
+_roots: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +47,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -71,11 +73,20 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(conf).delete(target, True)
+        _delete(self.spark, [self.path(name) for name in names])
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this process wrote; results that read them end with it."""
+    _delete(spark, _roots)
+    _roots.clear()
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
