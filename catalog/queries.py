@@ -189,7 +189,9 @@ QUERIES: dict[str, Query] = {
     "dice_popularity": on_popular(30, lambda s: s.edges),
     "dice_sample": on_graph(lambda g: dice.dice_hash_sample(g, 0.25).edges),
     "dice_sample_seeded": sample_fraction,
-    "induced_vertices": on_popular(30, lambda s: s.vertices),
+    "induced_vertices": on_graph(
+        lambda g: dice.dice_popularity(PropertyGraph(g.vertices, g.edges), 30).vertices
+    ),
     "slice_size": on_popular(30, lambda s: s.size()),
     "slice_description": slice_description,
     # views

@@ -45,14 +45,18 @@ def derive_vertices(edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """A directed multigraph: one row per vertex, one row per review."""
+    """A directed multigraph: one row per vertex, one row per review.
+
+    ``derived`` tells that the vertices hold nothing but what the edges say.
+    """
 
     vertices: DataFrame
     edges: DataFrame
+    derived: bool = False
 
     @classmethod
     def from_edges(cls, edges: DataFrame) -> PropertyGraph:
-        return cls(derive_vertices(edges), edges)
+        return cls(derive_vertices(edges), edges, derived=True)
 
     def summary(self) -> DataFrame:
         """Vertices per label, all vertices, and edges, as (item, n)."""

@@ -19,7 +19,12 @@ def induced_vertices(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _cut(source: GraphSlice, edges: DataFrame, predicate: str) -> GraphSlice:
-    graph = PropertyGraph(induced_vertices(source.vertices, edges), edges)
+    # Derived vertices are derived again from the kept edges, without a look
+    # at the base graph; vertices with columns of their own are looked up.
+    if source.graph.derived:
+        graph = PropertyGraph.from_edges(edges)
+    else:
+        graph = PropertyGraph(induced_vertices(source.vertices, edges), edges)
     return GraphSlice(graph, (*source.predicates, predicate))
 
 

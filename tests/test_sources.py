@@ -69,6 +69,8 @@ def test_raw_reviews(spark, tmp_path, rows, form):
     assert rows(users, "id", "name") == NAMES
     products = graph.vertices.filter("label = 'Product'")
     assert rows(products, "id", "name") == [(f"p_{x}", "") for x in "ABCD"]
+    high = dice.dice_score(graph, 3.5, 5.0)  # the vertices keep their names
+    assert rows(high.vertices, "id", "name") == [("p_A", ""), ("u_x", "José: the first")]
 
 
 def test_first_name_holds_when_a_file_is_split(spark, tmp_path, rows):
