@@ -54,6 +54,7 @@ def differences(spark, con, sf_dir: str, query, sql: str) -> tuple[str, int]:
 
 def main() -> None:
     from __spark_entry__ import oracle_sql, queries
+    from graphslice.plans.workspace import release
     from graphslice.session import build_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
@@ -77,6 +78,7 @@ def main() -> None:
         bad += bool(problem)
         state = "BAD " + problem if problem else "ok" if name in sql else "ok (rows only)"
         print(f"{name:24s} {n:8d} rows {time.time() - began:6.1f}s  {state}", flush=True)
+    release(spark)
     print("bad:", bad)
     sys.exit(bool(bad))
 

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from graphslice.model import EDGE_SCHEMA, PropertyGraph  # noqa: E402
+from graphslice.plans.workspace import release  # noqa: E402
 from graphslice.session import build_session  # noqa: E402
 
 HAND_EDGES = [
@@ -25,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
