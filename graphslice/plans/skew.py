@@ -21,6 +21,11 @@ from graphslice.plans.workspace import Workspace
 # Four million rows of two ids are about one 64 MB shuffle partition.
 DEFAULT_HOT_ROWS = 4_000_000
 
+# A task for fewer rows than this costs more to start than to run. Spark moves
+# a layout of fewer partitions than the session's again for each join, so this
+# is kept low: it spares small tables hundreds of near-empty tasks per round.
+SMALL_ROWS = 10_000
+
 # No table of hot keys, hubs or landmarks longer than this is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -33,8 +38,14 @@ def hot_rows(spark: SparkSession, total: int = 0) -> int:
 
 
 def partitions_for(spark: SparkSession, rows: float) -> int:
-    """Enough partitions to hold ``rows`` rows, and at least the session's number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / DEFAULT_HOT_ROWS))
+    """A number of partitions for ``rows`` rows.
+
+    The session's number where that gives each a fair share of work, fewer for
+    small tables, and more where a partition would otherwise grow too large.
+    """
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    useful = ceil(rows / SMALL_ROWS)
+    return max(1, min(session, useful), ceil(rows / DEFAULT_HOT_ROWS))
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

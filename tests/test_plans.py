@@ -11,7 +11,8 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_expand_moves_only_the_other_side(spark, hand):
+def test_expand_moves_only_the_other_side(spark, hand, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_ROWS", 1)  # lay this small graph out like a large one
     view = views.Undirected(hand, Workspace(spark, "plan"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -47,6 +48,8 @@ def test_hot_limit_bounds_the_number_of_hot_keys(spark):
     huge = 10**13
     assert huge / skew.hot_rows(spark, huge) <= skew.BROADCAST_ROWS
     assert skew.partitions_for(spark, 4e9) == 1000
+    assert skew.partitions_for(spark, 10) == 1
+    assert skew.partitions_for(spark, 1e7) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class _Elsewhere:
