@@ -12,6 +12,7 @@ import os
 import sys
 import time
 
+from catalog.folders import name_folder
 from graphslice.model import GraphSlice, PropertyGraph
 from graphslice.operators import dice
 from graphslice.plans import batch
@@ -46,6 +47,7 @@ def main() -> None:
         "bench", master=f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__driver__memory="16g"
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_folder(spark)
     workspace = Workspace(spark, "bench")
 
     def stored(edges, name: str) -> GraphSlice:

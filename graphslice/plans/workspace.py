@@ -8,9 +8,6 @@ and the size Spark plans the next join with is the size of the files.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from functools import reduce
 
@@ -18,27 +15,19 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_local_folders: dict[str, str] = {}
 _roots: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir`` or set as checkpoint folder.
 
-    Where it is unset a temporary folder is made, but only for a local master:
-    on a cluster such a folder would exist on one machine only.
+    It must be one that the driver and all executors share, so none is made
+    here: a library cannot know which folders a cluster shares.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="graphslice-")
-        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
-    return _local_folders[app]
+    return named
 
 
 class Workspace:

@@ -54,6 +54,7 @@ def differences(spark, con, sf_dir: str, query, sql: str) -> tuple[str, int]:
 
 def main() -> None:
     from __spark_entry__ import oracle_sql, queries
+    from catalog.folders import name_folder
     from graphslice.plans.workspace import release
     from graphslice.session import build_session
 
@@ -62,6 +63,7 @@ def main() -> None:
         master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g"
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_folder(spark)
     con, sql = connect(sf_dir), oracle_sql()
     bad = 0
     for name, query in queries().items():

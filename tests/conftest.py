@@ -20,11 +20,12 @@ HAND_EDGES = [
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", master="local[4]", spark__sql__shuffle__partitions="3", spark__driver__memory="8g"
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     release(session)
     session.stop()
