@@ -13,6 +13,7 @@ pieces of a length.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,105 +29,86 @@ from graphslice.plans.workspace import Workspace
 
 WINDOW = 1024
 END = 0  # closes every document
-CACHED_WORDS = 400_000
-BATCH_CHARS = 1 << 20
+BATCH_IDS = 1 << 19  # ids that a task holds at once, but for those of one text
+#: Fixed value: how the byte-level vocabulary cuts words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STEPS = 400
 _PIECES = "part int, doc_id long, start long, length int, doc_tokens long, place long, ids binary"
 _PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes, word by word.
+    """Ids as little-endian 32-bit bytes.
 
-    A space after another non-space character starts a new word of the
-    tokenizer, so what lies between such spaces has ids of its own, which are
-    kept for the next time. Texts with runs of white space before a space are
-    cut only at the spaces that do start a word.
+    ``ranks`` names the same vocabulary as byte strings with their ranks, for
+    a faster library. It takes the texts of plain Latin letters, digits,
+    marks and white space without very long words, for which both libraries
+    cut words alike; all other texts, and all texts without ``ranks``, go to
+    the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._fast = _ranked(ranks) if ranks else None
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self._known) + len(parts) > CACHED_WORDS:
-            self._known.clear()
-        new = list(parts - self._known.keys())
-        for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[word] = np.array(found.ids, "<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        if self._fast is not None and not _UNUSUAL.search(text):
+            return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_parts(text) for text in texts]
-        wanted = set().union(*split) if split else set()
-        self._learn(wanted)
-        if len(self._known) < len(wanted):
-            raise RuntimeError("the words of a batch exceed the cache")
-        return [b"".join(map(self._known.__getitem__, parts)) for parts in split]
 
+#: Anything but plain Latin text, or a word of two thousand characters.
+_UNUSUAL = re.compile(r"[^\t\n\x20-\x7e\xa1-\u024f]|[^\s]{2000}")
 
-_GAP = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
 
+def _ranked(path: str):
+    import tiktoken
 
-def _parts(text: str) -> list[str]:
-    """Pieces that are tokenized alike alone and in the text."""
-    if _GAP.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    parts = [" " + word for word in rest]
-    return [first, *parts] if first else parts
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranked", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(*paths: str | None) -> Encoder:
+    if paths not in _encoders:
+        _encoders[paths] = Encoder(*paths)
+    return _encoders[paths]
 
 
-def _in_pieces(path: str, window: int):
+def _in_pieces(paths: tuple[str | None, ...], window: int):
     """Rows ``doc_id, text`` to pieces: whole windows, and a remainder with its place among the task's of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(*paths).encode
         part, seen, full = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
+        rows, held = [], 0
         for batch in batches:
-            for ids, texts in _small(batch):
-                rows = []
-                for doc_id, raw in zip(ids, _encoder(path).encode(texts), strict=True):
-                    raw += END.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    for start in range(0, n, window):
-                        length = min(window, n - start)
-                        if length == window:
-                            place, full = full, full + 1
-                        else:
-                            place = int(seen[length])
-                            seen[length] += 1
-                        rows.append((part, doc_id, start, length, n, place, raw[4 * start : 4 * (start + length)]))
-                yield _batch(rows, _PIECES)
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                raw = encode(text.as_py() or "") + END.to_bytes(4, "little")
+                n, key = len(raw) // 4, doc_id.as_py()
+                for start in range(0, n, window):
+                    length = min(window, n - start)
+                    if length == window:
+                        place, full = full, full + 1
+                    else:
+                        place = int(seen[length])
+                        seen[length] += 1
+                    rows.append((part, key, start, length, n, place, raw[4 * start : 4 * (start + length)]))
+                held += n
+                if held >= BATCH_IDS:
+                    yield _batch(rows, _PIECES)
+                    rows, held = [], 0
+        yield _batch(rows, _PIECES)
 
     return run
 
 
-def _small(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in lists of about BATCH_CHARS characters."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(doc_id.as_py())
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= BATCH_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -248,7 +230,7 @@ def _on_line(at: int, length: int, plan: Plan) -> list[tuple[int, int, int, int]
     return spots
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` (``doc_id, text``) as pieces in sequences of at most ``window`` ids.
 
     Returns ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``
@@ -259,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     folder = Workspace(docs.sparkSession, "pack")
-    pieces = docs.select("doc_id", "text").mapInArrow(_in_pieces(tokenizer, window), _PIECES)
+    pieces = docs.select("doc_id", "text").mapInArrow(_in_pieces((tokenizer, ranks), window), _PIECES)
     pieces = folder.save(pieces, "pieces")
     rests = pieces.where(F.col("length") < window)
     counts = folder.save(rests.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")

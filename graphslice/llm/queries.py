@@ -29,10 +29,11 @@ def op2_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_paths() -> tuple[str, str]:
+    """The tokenizer, and its vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
@@ -56,7 +57,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op5_log_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = quality.judge(docs, quality.fit(docs, trusted_ids(table(spark, sf_dir, "labels"))))
+    judged = quality.judge(docs.select("doc_id", "text"), quality.fit(docs, trusted_ids(table(spark, sf_dir, "labels"))))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )

@@ -32,5 +32,5 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in training sequences."""
-    pieces = packing_operator.pack(docs, queries.tokenizer_path())
+    pieces = packing_operator.pack(docs, *queries.tokenizer_paths())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
