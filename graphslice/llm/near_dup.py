@@ -22,18 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphslice.llm.text import words
+from graphslice.llm.text import let, words
 from graphslice.plans.shipping import ship_package
 from graphslice.plans.workspace import Workspace, union_all
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 8  # at similarity 0.8 a pair shares no band once in 360
+BANDS, ROWS = 20, 6  # at similarity 0.8 a pair shares no band once in 440
 HUB_ROUNDS = 3
 BROADCAST_ROWS = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_SURE = 4.0  # all slots are filled by the first time limit but for exp(-4) of the texts
+_SURE = 3.0  # all slots are filled by the first time limit but for exp(-3) of the texts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def _arrivals(
     """Time, element and slot of every arrival up to ``limit``."""
     found = []
     now, draw = np.zeros(len(elements)), 0
-    ahead = 1  # most elements of a long text arrive late or once
+    ahead = int(1.5 * limit / max(len(elements), 1)) + 1  # most elements of a long text arrive late or once
     while len(elements):
         draws = np.arange(draw, draw + ahead, dtype=np.uint64)
         gaps = -np.log(_uniform(elements[:, None], 2 * draws)) / weights[:, None]
@@ -135,13 +135,13 @@ def _set_of(found: np.ndarray) -> np.ndarray:
     return np.unique(found).view(np.int64)
 
 
-def print_of(text: Column) -> Column:
+def print_of(tokens: Column) -> Column:
     """Equal for texts with the same words."""
-    return F.md5(F.array_join(words(text), " "))
+    return F.md5(F.array_join(tokens, " "))
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w)).alias("hashes")
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
 class Duplicates:
@@ -157,10 +157,9 @@ class Duplicates:
         self.docs, self.similarity = docs, similarity
         ship_package(docs.sparkSession)
         self.folder = Workspace(docs.sparkSession, "near-dup")
-        text = F.col("text")
-        prints = docs.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", print_of(text).alias("print"), _hashes(text)
-        )
+        both = let(words(F.col("text")), lambda w: F.struct(print_of(w).alias("print"), _hashes(w).alias("hashes")))
+        prints = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", both.alias("both"))
+        prints = prints.select("row", "doc_id", "both.print", "both.hashes")
         types = T.StructType(prints.drop("hashes").schema.fields).add("bands", T.ArrayType(T.LongType()))
         self.rows = self.folder.save(prints.mapInArrow(_per_text(_keys_of, "bands"), types), "rows")
         one = self.rows.groupBy("print").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands"))
@@ -176,8 +175,8 @@ class Duplicates:
         wanted = self.folder.save(self.texts.join(nodes, "node").select("print", "node"), "wanted")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        texts = self.docs.select(print_of(F.col("text")).alias("print"), "text").join(wanted, "print")
-        one = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _hashes(F.col("text")))
+        texts = self.docs.select(print_of(words(F.col("text"))).alias("print"), "text").join(wanted, "print")
+        one = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _hashes(words(F.col("text"))).alias("hashes"))
         sets = one.mapInArrow(_per_text(_set_of, "shingles"), "node long, shingles array<bigint>")
         return self.folder.save(sets.withColumn("size", F.size("shingles")), "sets")
 
@@ -247,7 +246,7 @@ class Duplicates:
         last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
         kept = self._named().groupBy("label").agg(F.min_by("print", F.struct(last, "print")).alias("print"))
         row = F.struct(*self.docs.columns).alias("row")
-        whole = self.docs.select(row, last.alias("last"), print_of(F.col("text")).alias("print"))
+        whole = self.docs.select(row, last.alias("last"), print_of(words(F.col("text"))).alias("print"))
         one = whole.groupBy("print").agg(F.min_by("row", "last").alias("row"))
         return one.join(kept.select("print"), "print", "left_semi").select("row.*")
 
