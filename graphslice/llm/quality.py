@@ -24,20 +24,22 @@ WINDOW = 8  # words
 FEWEST_WORDS, MOST_REPEATED = 20, 30  # words; per cent
 BROADCAST_ROWS = 1 << 20  # ids of trusted documents; more are joined by shuffle
 
-_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+_SYMBOLS = r"[!-/:-@\[-`{-~]+"
 
 
-def grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words and word pairs, lower-cased, with runs of symbols as words."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
-    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+def hashes_of(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def both(hashes: Column) -> Column:
-        pairs = F.greatest(F.size(hashes) - 1, F.lit(0))
-        pair = F.zip_with(F.slice(hashes, 1, pairs), F.slice(hashes, 2, pairs), lambda a, b: bucket(F.xxhash64(a, b)))
-        return F.concat(F.transform(hashes, bucket), pair)
 
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), both)
+def pairs_of(hashes: Column, apart: int = 1) -> Column:
+    """Hashes of each element with the one ``apart`` places later."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, apart + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def symbols_of(text: Column) -> Column:
+    """Hashes of the runs of ASCII marks, which count as words of their own besides the words that hold them."""
+    return hashes_of(F.regexp_extract_all(text, F.lit(_SYMBOLS), F.lit(0)))
 
 
 @dataclass(frozen=True)
@@ -46,12 +48,14 @@ class LogRatio:
 
     ratios: tuple[float, ...]
 
-    def score(self, text: Column) -> Column:
-        """Mean log ratio of the n-grams; 0 without any."""
+    def score(self, hashes: Column, pairs: Column, symbols: Column) -> Column:
+        """Mean log ratio of words, pairs of words and runs of marks, given their hashes; 0 without any."""
+        size = len(self.ratios)
         table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
-        add = lambda total, g: total + F.element_at(table, g + 1)
-        mean = lambda g: F.aggregate(g, F.lit(0.0), add) / F.size(g)
-        return let(grams(text, len(self.ratios)), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(mean(g)))
+        of = lambda h: F.element_at(table, (F.pmod(h, F.lit(size)) + 1).cast("int"))
+        total = lambda found: F.aggregate(found, F.lit(0.0), lambda t, h: t + of(h))
+        n = F.size(hashes) + F.size(pairs) + F.size(symbols)
+        return F.when(n == 0, 0.0).otherwise((total(hashes) + total(pairs) + total(symbols)) / n)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> LogRatio:
@@ -65,8 +69,10 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> LogRatio
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left")
-    each = marked.select(F.explode(grams(F.col("text"), buckets)).alias("bucket"), "target")
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect()
+    text = F.coalesce("text", F.lit(""))
+    grams = let(hashes_of(words(text)), lambda h: F.concat(h, pairs_of(h), symbols_of(text)))
+    each = marked.select(F.explode(grams).alias("gram"), "target")
+    counts = each.groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect()
     raw, target = {r["bucket"]: r["raw"] for r in counts}, {r["bucket"]: r["target"] for r in counts}
     all_raw, all_target = sum(raw.values()), sum(target.values())
     if not all_target:
@@ -81,8 +87,11 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> LogRatio
     return LogRatio(tuple(ratio(b) for b in range(buckets)))
 
 
-def repeated_words(tokens: Column) -> Column:
-    """Words in windows of eight that occur twice or more in the text, the first included."""
+def repeated_words(pairs: Column) -> Column:
+    """Words in windows of eight that occur twice or more in the text, the first included.
+
+    ``pairs`` has the hashes of neighbouring words; pairs of pairs are windows of four, and those of four of eight.
+    """
 
     def covered(windows: Column) -> Column:
         places = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -99,54 +108,48 @@ def repeated_words(tokens: Column) -> Column:
             lambda s: F.aggregate(F.transform(s, lambda x, i: gap(s, i, x)), F.lit(0), lambda total, n: total + n),
         )
 
-    def hashed(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
-        windows = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-        return let(
-            windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))
-        )
+    windows = let(pairs_of(pairs, 2), lambda fours: pairs_of(fours, 4))
+    distinct = lambda w: F.size(F.array_distinct(w)) == F.size(w)
+    return let(windows, lambda w: F.when(distinct(w), F.lit(0)).otherwise(covered(w))).cast("long")
 
-    each = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.when(F.size(tokens) <= WINDOW, 0).otherwise(let(each, hashed)).cast("long")
 
+def judge(docs: DataFrame, model: LogRatio, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (``doc_id, text``) with their counts, ``base_failed``, ``score`` and ``kept``, without the text.
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``."""
+    Null and empty texts have no words, so they fail the base rules; their
+    score is 0. Equal rows are separate, an empty table gives no rows, and
+    further columns stay.
+    """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    distinct = let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))
+    repeated = let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))
+
+    def counts(tokens: Column) -> Column:
+        def hashed(h: Column, p: Column) -> Column:
+            return F.struct(
+                F.size(h).cast("long").alias("n_words"),
+                F.length(F.array_join(tokens, "")).cast("long").alias("word_chars"),
+                repeated_words(p).alias("n_repeat_words"),
+                let(symbols_of(text), lambda s: model.score(h, p, s)).alias("score"),
+            )
+
+        return let(hashes_of(tokens), lambda h: let(pairs_of(h), lambda p: hashed(h, p)))
+
+    others = [name for name in docs.columns if name != "text"]
     counted = docs.select(
-        "*",
-        let(
-            words(F.col("text")),
-            lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-                repeated_words(w).alias("n_repeat_words"),
-            ),
-        ).alias("_words"),
+        *others,
+        let(words(text), counts).alias("_words"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        distinct.cast("long").alias("n_dup_lines"),
+        repeated.cast("long").alias("n_dup_lines"),
     )
-    plain = counted.select(*docs.columns, "_words.*", "n_symbols", "n_dup_lines")
+    plain = counted.select(*others, "_words.*", "n_symbols", "n_dup_lines")
     short = F.col("n_words") < FEWEST_WORDS
     repetitive = 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    return plain.withColumn("base_failed", short | repetitive)
-
-
-def judge(docs: DataFrame, model: LogRatio, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` (``doc_id, text``) with its counts, ``score`` and ``kept``.
-
-    Null and empty texts have no words, so they fail the base rules; their
-    score is 0. Equal rows are separate, an empty table gives no rows, and
-    further columns are ignored.
-    """
-    scored = base_counts(docs.select("doc_id", "text")).withColumn("score", model.score(F.col("text")))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("text")
+    failed = plain.withColumn("base_failed", short | repetitive)
+    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def good_documents(docs: DataFrame, model: LogRatio, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    counted = base_counts(row).where(~F.col("base_failed"))
-    return counted.where(model.score(F.col("text")) >= threshold).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return judge(rows, model, threshold).where("kept").select("row.*")
