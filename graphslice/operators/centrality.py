@@ -110,7 +110,7 @@ def local_clustering_coefficient(source: GraphSlice | PropertyGraph) -> Clusteri
     return Clustering(per_vertex, clustering_summary(per_vertex), top_clustering(per_vertex))
 
 
-def k_cores(source: GraphSlice | PropertyGraph, max_k: int, max_rounds: int = 10_000) -> KCores:
+def k_cores(source: GraphSlice | PropertyGraph, max_k: int) -> KCores:
     """3b: the size of the k-core for k = 1 .. ``max_k``, and the last core's vertices.
 
     The state is one row per surviving vertex with its degree among the
@@ -131,8 +131,6 @@ def k_cores(source: GraphSlice | PropertyGraph, max_k: int, max_rounds: int = 10
         for k in range(1, max_k + 1):
             before = rounds
             while state["rows"] and state["least"] < k:
-                if rounds - before == max_rounds:
-                    raise RuntimeError(f"the {k}-core is not settled after {max_rounds} rounds")
                 alive = workspace.read(f"core-{rounds}", schema=schema)
                 dropped = alive.filter(F.col("degree") < k).select("id")
                 lost = (
@@ -152,14 +150,14 @@ def k_cores(source: GraphSlice | PropertyGraph, max_k: int, max_rounds: int = 10
 
 
 def page_rank(
-    source: GraphSlice | PropertyGraph, iterations: int, tolerance: float = 1e-12
+    source: GraphSlice | PropertyGraph, iterations: int, tolerance: float | None = None
 ) -> DataFrame:
     """(id, label, pagerank) after ``iterations`` rounds on the directed reviews.
 
     Every rank starts at 1 and a review passes on an equal share of its
     source's rank, so repeats count. Ranks are scaled at the end to sum to the
-    number of vertices. A round that moves no rank by more than ``tolerance``
-    ends the loop, since all later rounds would repeat it.
+    number of vertices. All rounds are run; only with a ``tolerance`` does a
+    round that moves no rank by more end the loop.
     """
     source = as_slice(source)
     spark = source.edges.sparkSession
@@ -176,7 +174,9 @@ def page_rank(
     hot = skew.find_hot(links, "src", link_count, workspace)
     round_no = 0
     with skew.Adjacency(links, link_count, hot) as adjacency:
-        while round_no < iterations and state["rows"] and state["moved"] > tolerance:
+        while round_no < iterations and state["rows"]:
+            if tolerance is not None and state["moved"] <= tolerance:
+                break
             now = workspace.read(f"rank-{round_no}", schema=schema)
             shares = now.filter("given > 0").select("id", (F.col("rank") / F.col("given")).alias("share"))
             income = (

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphslice.model import GraphSlice, PropertyGraph, as_slice, endpoints
+from graphslice.functions.measures import OTHER_YEAR, utc_year
+from graphslice.model import EDGE_SCHEMA, GraphSlice, PropertyGraph, as_slice, endpoints
 from graphslice.plans import skew
 
 
@@ -47,9 +48,11 @@ def dice_time(source: GraphSlice | PropertyGraph, start: int, end: int) -> Graph
     source = as_slice(source)
     within = F.col("timestamp").between(start, end)
     if "year" in source.edges.columns:
-        within &= F.col("year").between(
-            F.year(F.timestamp_seconds(F.lit(start))), F.year(F.timestamp_seconds(F.lit(end)))
-        )
+        low, high = (utc_year(F.lit(t).cast("bigint")) for t in (start, end))
+        # A bound without a year does not select; reviews without one are always looked at.
+        after = (low == OTHER_YEAR) | (F.col("year") >= low)
+        before = (high == OTHER_YEAR) | (F.col("year") <= high)
+        within &= (F.col("year") == OTHER_YEAR) | (after & before)
     return _cut(source, source.edges.filter(within), f"time=[{start},{end}]")
 
 
@@ -74,18 +77,17 @@ def dice_popularity(source: GraphSlice | PropertyGraph, min_reviews: int) -> Gra
 
 
 def dice_sample(source: GraphSlice | PropertyGraph, fraction: float, seed: int) -> GraphSlice:
-    """A random sample of the reviews, without replacement."""
-    source = as_slice(source)
-    return _cut(source, source.edges.sample(False, fraction, seed), f"sample={fraction:.4f}")
-
-
-def dice_hash_sample(source: GraphSlice | PropertyGraph, fraction: float) -> GraphSlice:
-    """A sample that does not depend on how the rows are split into partitions.
+    """A random sample of the reviews, without replacement, that any rerun and any layout repeats.
 
-    A review is kept when the first 32 bits of the MD5 of its key fall below
-    the fraction, so repeats of one review are kept or left out together.
+    A review is kept when the first 32 bits of an MD5 fall below the fraction.
+    It covers the seed, all columns and, as equal reviews are drawn one by
+    one, a number among those; they are counted, not gathered.
     """
     source = as_slice(source)
-    key: Column = F.md5(F.concat_ws("|", "src", "dst", F.col("timestamp").cast("string")).cast("binary"))
+    columns = source.edges.columns
+    counted = source.edges.groupBy(*columns).agg(F.count(F.lit(1)).alias("repeats"))
+    each = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats")).alias("number"))
+    texts = (F.col(name).cast("string") for name in (*EDGE_SCHEMA.names, "number"))
+    key: Column = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary"))
     draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
-    return _cut(source, source.edges.filter(draw < int(fraction * 2**32)), f"sample={fraction:.4f}")
+    return _cut(source, each.filter(draw < int(fraction * 2**32)).select(columns), f"sample={fraction:.4f}")

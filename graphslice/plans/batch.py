@@ -110,7 +110,6 @@ DEMO: list[tuple[str, str, dict]] = [
     ("apex", "ratingSummary", {"minReviews": 500}),
     ("apex", "pageRankAggregation", {"iterations": 5}),
 ]
-SWEEP_THRESHOLDS = (500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 25, 20)
 
 
 def demo_slices(

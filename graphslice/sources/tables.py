@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.functions import measures
-from graphslice.model import EDGE_SCHEMA, PropertyGraph
+from graphslice.functions.measures import utc_year
+from graphslice.model import EDGE_SCHEMA, PropertyGraph, endpoints
 from graphslice.plans.batch import MEASUREMENT_SCHEMA
 
+YEAR_FILES = 64  # parts that the edges of one year are spread over
+
 NAMED_VERTEX_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("id", "label", "name")]
 )
@@ -61,15 +64,17 @@ def write_graph(graph: PropertyGraph, path: str, by_year: bool = False) -> None:
 
     Vertices are stored once each, edges as they are, repeats included. With
     ``by_year`` edges go to one folder per year of their timestamp, which a
-    time dice then reads selectively. A year is written by several tasks, so
-    one that holds most reviews is not one task's work.
+    time dice then reads selectively. Years are those of UTC, and times without
+    one go to a folder that every time dice reads. A year has at most
+    ``YEAR_FILES`` parts, so one that holds most reviews is not one task's work.
     """
     graph.vertices.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/vertices")
     edges = graph.edges.select(*EDGE_SCHEMA.names)
     writer = edges.write
     if by_year:
-        year = F.year(F.timestamp_seconds(F.coalesce("timestamp", F.lit(0).cast("bigint"))))
-        writer = edges.withColumn("year", year).write.partitionBy("year")
+        dated = edges.withColumn("year", utc_year(F.col("timestamp")))
+        spread = F.pmod(F.xxhash64(*EDGE_SCHEMA.names), F.lit(YEAR_FILES))
+        writer = dated.repartition("year", spread).write.partitionBy("year")
     writer.mode("overwrite").parquet(f"{path}/edges")
 
 
@@ -78,11 +83,12 @@ def read_graph(spark: SparkSession, path: str, max_edges: int = 0) -> PropertyGr
 
     ``max_edges`` keeps that many edges, the first in order of their columns.
     """
-    edges = zero_missing(spark.read.parquet(f"{path}/edges"))
+    edges, vertices = zero_missing(spark.read.parquet(f"{path}/edges")), spark.read.parquet(f"{path}/vertices")
     if max_edges > 0:
         edges = cap_edges(edges, max_edges)
-        return PropertyGraph.from_edges(edges)
-    return PropertyGraph(spark.read.parquet(f"{path}/vertices"), edges)
+        kept = vertices.join(endpoints(edges), "id", "left_semi")
+        return PropertyGraph(kept, edges)
+    return PropertyGraph(vertices, edges)
 
 
 def cap_edges(edges: DataFrame, n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphslice.model import GraphSlice
+from graphslice.model import GraphSlice, PropertyGraph
 from graphslice.operators import centrality, dice, neighborhood, paths, views
 from graphslice.plans import batch
 
@@ -49,13 +49,40 @@ def test_dices_chain_and_keep_their_names(hand, rows):
 
 def test_samples(hand, rows):
     full = rows(hand.edges.fillna(0.0))
-    for cut in (dice.dice_sample(hand, 0.5, 7), dice.dice_hash_sample(hand, 0.5)):
+    for cut in (dice.dice_sample(hand, 0.5, 7), dice.dice_sample(hand, 0.5, 8)):
         kept = rows(cut.edges.fillna(0.0))
         assert set(kept) <= set(full)
         ends = {r[0] for r in kept} | {r[1] for r in kept}
         assert {r[0] for r in rows(cut.vertices)} == ends
-    assert rows(dice.dice_hash_sample(hand, 1.0).edges.fillna(0.0)) == full
-    assert rows(dice.dice_hash_sample(hand, 0.0).edges) == []
+    assert rows(dice.dice_sample(hand, 1.0, 7).edges.fillna(0.0)) == full
+    assert rows(dice.dice_sample(hand, 0.0, 7).edges) == []
+
+
+def test_a_sample_does_not_depend_on_the_layout(spark, graph_of, rows):
+    edges = [("u_1", "p_1", 5.0, 1.0, 7)] * 40 + [(f"u_{i}", f"p_{i % 9}", 1.0, 0.5, i) for i in range(300)]
+    graph = graph_of(edges)
+    found = [
+        rows(dice.dice_sample(PropertyGraph.from_edges(graph.edges.repartition(n)), 0.3, 7).edges) for n in (1, 3, 11)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert 0 < sum(r[0] == "u_1" and r[4] == 7 for r in found[0]) < 40  # equal reviews are drawn one by one
+
+
+def test_time_dice_on_a_stored_graph_in_another_zone(spark, graph_of, rows, tmp_path):
+    from graphslice.sources.tables import read_graph, write_graph
+
+    ends_of_years = [("u_1", "p_1", 5.0, 1.0, 946684799), ("u_1", "p_2", 5.0, 1.0, 946684800), ("u_2", "p_2", 1.0, 1.0, 10**14)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        write_graph(graph_of(ends_of_years), str(tmp_path / "g"), by_year=True)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        stored = read_graph(spark, str(tmp_path / "g"))
+        assert rows(dice.dice_time(stored, 946684800, 946684900).edges, "dst") == [("p_2",)]
+        assert rows(dice.dice_time(stored, 946684799, 10**15).edges, "src") == [("u_1",), ("u_1",), ("u_2",)]
+        assert rows(read_graph(spark, str(tmp_path / "g"), max_edges=1).vertices, "id") == [("p_1",), ("u_1",)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_release_keeps_the_base_cached(hand):
@@ -142,8 +169,6 @@ def test_cores(hand, rows):
     found = centrality.k_cores(hand, 5)
     assert rows(found.profile, "k", "core_vertices", "core_edges") == [(1, 7, 5), (2, 0, 0)]
     assert rows(found.members) == []
-    with pytest.raises(RuntimeError):
-        centrality.k_cores(hand, 2, max_rounds=1)
 
 
 def test_page_rank_known_values(graph_of, rows):
