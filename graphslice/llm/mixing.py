@@ -55,14 +55,14 @@ def highest_quotients(parties: DataFrame, group: list[str], key: str, weight: st
     """
     of = Window.partitionBy(*group)
     half, total = F.count(F.lit(1)).over(of) / 2, F.sum(weight).over(of)
-    share = lambda m: F.floor(F.coalesce(F.col(weight) * m / total, F.lit(0.0)) + 0.5)
+    share = lambda m: F.floor(F.coalesce(F.try_divide(F.col(weight) * m, total), F.lit(0.0)) + 0.5)
     bounded = parties.withColumn("least", F.greatest(F.lit(0).cast("long"), share(F.col(seats) - half) - 1))
     bounded = bounded.withColumn("most", share(F.col(seats) + half) + 1)
     bounded = bounded.withColumn("open", F.col(seats) - F.sum("least").over(of))
     quotients = bounded.select(
-        *group, key, "open", weight, F.explode(F.sequence(F.col("least") + 1, F.col("most"))).alias("k")
-    ).withColumn("quotient", F.col(weight) / (F.col("k") - 0.5))
-    place = F.row_number().over(of.orderBy(F.col("quotient").desc(), key, "k"))
+        *group, key, "open", weight, F.explode(F.sequence(F.col("least") + 1, F.col("most"))).alias("nth")
+    ).withColumn("quotient", F.col(weight) / (F.col("nth") - 0.5))
+    place = F.row_number().over(of.orderBy(F.col("quotient").desc(), key, "nth"))
     won = (
         quotients.withColumn("place", place)
         .where((F.col("place") <= F.col("open")) & (F.col(weight) > 0))

@@ -1,0 +1,359 @@
+"""Each operator against a brute-force version, and on odd and empty tables."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from graphslice.llm import (
+    license_scan, mixing, near_dup, packing, quality, queries, secrets, sharding, topk, toxicity, urls,
+)
+
+SF_DIR = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def some_docs(docs_of):
+    """Invented prose with copies, near copies and repeated passages."""
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randint(30, 260))) for _ in range(60)]
+    for i in range(20):
+        tokens = texts[i].split()
+        tokens[draw.randrange(len(tokens))] = "changed"
+        texts.append(" ".join(tokens))
+    texts += texts[:10]
+    texts += [t + "\n" + t for t in texts[20:25]]
+    return docs_of([(i, t, f"s{i % 5}") for i, t in enumerate(texts)])
+
+
+def every(operator, docs):
+    return operator(docs).collect()
+
+
+# --- toxicity
+
+
+def test_toxicity(spark, docs_of, odd_docs):
+    draw = random.Random(1)
+    plain = ["".join(draw.choice("aeioutrns") for _ in range(draw.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(400):
+        tokens, toxic = draw.choices(plain, k=60), int(i % 3 == 0)
+        for _ in range(5 * toxic):
+            tokens[draw.randrange(60)] = draw.choice(["zwkvqj", "pxgghwl"])
+        rows.append((i, " ".join(tokens), "s"))
+        labels.append((i, 1, toxic))
+    docs = docs_of(rows)
+    label_table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, label_table)
+    found = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in found.items() if r["held_out"]} == set(held)
+    assert np.mean([found[i]["predicted"] == labels[i][2] for i in held]) > 0.95
+    odd = toxicity.score(odd_docs, model).collect()
+    assert len(odd) == 10 and all(0 <= r["score"] <= 1 for r in odd)
+    one_class = toxicity.train(docs, label_table.where("toxic = 0"))
+    assert {r["score"] for r in toxicity.score(docs, one_class).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# --- licenses
+
+
+def test_longest_increasing_run():
+    draw = random.Random(2)
+    for _ in range(200):
+        values = [draw.randrange(12) for _ in range(draw.randrange(9))]
+        best = max((c for n in range(len(values) + 1) for c in combinations(values, n) if list(c) == sorted(set(c))), key=len)
+        chain = [values[i] for i in license_scan.increasing(values)]
+        assert chain == sorted(set(chain)) and len(chain) == len(best)
+
+
+def test_licenses(docs_of, odd_docs):
+    from graphslice.llm.license_texts import TEMPLATES
+
+    changed = TEMPLATES["MIT"].replace("free of charge", "at no charge").replace("KIND", "SORT")
+    text = "Éa İstanbul notes. Released under the MIT License.\nMore text. Released under the MIT license. " + changed + " the end"
+    found = license_scan.scan(docs_of([(1, text, "a"), (2, "we licensed the software under a version", "a")])).collect()
+    assert [(r["doc_id"], r["license"]) for r in found] == [(1, "MIT notice"), (1, "MIT notice"), (1, "MIT")]
+    assert text[found[0]["start"] : found[0]["end"]] == "Released under the MIT License"
+    assert found[2]["coverage"] > 0.95 and text[found[2]["end"] - 8 : found[2]["end"]] == "SOFTWARE"
+    assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(odd_docs.limit(0)).count() == 0
+
+
+# --- packing
+
+
+@pytest.fixture(scope="module")
+def paths():
+    return queries.tokenizer_paths()
+
+
+def test_both_libraries_agree(paths):
+    fast, slow = packing.Encoder(*paths), packing.Encoder(paths[0])
+    draw = random.Random(3)
+    letters = "abcXYZ éàßñ  \n\t.,'!?0123456789<|endoftext|>'s 're #*$%\xa0 中😀"
+    for _ in range(3000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 40)))
+        assert fast.encode(text) == slow.encode(text)
+
+
+def test_packing(some_docs, odd_docs, paths):
+    slow = packing.Encoder(paths[0])
+    for docs in (some_docs, odd_docs):
+        pieces = packing.pack(docs, *paths, window=128).collect()
+        want = Counter((r["doc_id"], slow.encode(r["text"] or "") + bytes(4)) for r in docs.collect())
+        sequences, whole = defaultdict(list), defaultdict(list)
+        for p in pieces:
+            assert p["length"] * 4 == len(p["ids"])
+            sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+            whole[p["doc_id"], p["doc_tokens"], p["start"]].append(bytes(p["ids"]))
+        for spots in sequences.values():
+            ends = [0, *np.cumsum([n for _, n in sorted(spots)])]
+            assert [at for at, _ in sorted(spots)] == ends[:-1] and ends[-1] <= 128
+        assert sum(sum(n for _, n in s) < 128 for s in sequences.values()) <= 1
+        assert sum(p["length"] for p in pieces) == sum(len(raw) // 4 * n for (_, raw), n in want.items())
+        for (doc_id, raw), n in want.items():
+            starts = sorted(s for d, t, s in whole if (d, t) == (doc_id, len(raw) // 4))
+            assert starts[0] == 0 and all(len(whole[doc_id, len(raw) // 4, s]) >= n for s in starts)
+    assert packing.pack(odd_docs.limit(0), *paths).count() == 0
+
+
+def test_least_squares_uses_exact_sets():
+    histogram = np.zeros(64, int)
+    histogram[[40, 24, 30, 20, 14]] = [50, 50, 30, 30, 30]
+    plan = packing.make_plan(histogram, 64)
+    assert plan.first_line == 80 and not (histogram - plan.rest).any()
+
+
+# --- near duplicates
+
+
+def brute_classes(rows):
+    def shingles(text):
+        tokens = SPACE.findall(text or "")
+        return frozenset(zip(*(tokens[i:] for i in range(5)), strict=False)) if len(tokens) >= 5 else frozenset([tuple(tokens)])
+
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        empty = sets[a] == sets[b] == frozenset([()])
+        if empty or SPACE.findall(rows[a][1] or "") == SPACE.findall(rows[b][1] or "") or (
+            () not in sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        ):
+            parent[find(b)] = find(a)
+    groups = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        groups[find(i)].append(doc_id)
+    out = []
+    for members in groups.values():
+        known = [m for m in members if m is not None]
+        out += [(m, min(known) if known else None, len(members)) for m in members]
+    return sorted(out, key=str)
+
+
+def test_near_duplicates(some_docs, odd_docs):
+    for docs in (some_docs, odd_docs):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        found = near_dup.Duplicates(docs)
+        assert sorted(map(tuple, found.classes().collect()), key=str) == brute_classes(rows)
+        one = found.one_of_each()
+        assert one.columns == docs.columns and one.count() == len({r["label"] for r in found._named().collect()})
+    assert near_dup.Duplicates(odd_docs.limit(0)).classes().count() == 0
+
+
+def test_signatures_estimate_probability_jaccard():
+    a, b = np.arange(200, dtype=np.uint64), np.arange(40, 240, dtype=np.uint64)
+    first = [near_dup.signature(near_dup.mix(np.repeat(x, 1 + x.astype(int) % 3)), 4096) for x in (a, b)]
+    weight = [dict(zip(x.tolist(), (1 + x.astype(int) % 3) / (1 + x.astype(int) % 3).sum())) for x in (a, b)]
+    shared = weight[0].keys() & weight[1].keys()
+    exact = sum(
+        1 / sum(max(weight[0].get(e, 0) / weight[0][d], weight[1].get(e, 0) / weight[1][d]) for e in weight[0] | weight[1])
+        for d in shared
+    )
+    assert abs(np.mean(first[0] == first[1]) - exact) < 0.03
+
+
+# --- quality
+
+
+def brute_counts(text):
+    tokens = SPACE.findall(text or "")
+    windows = [tuple(tokens[i : i + 8]) for i in range(len(tokens) - 7)]
+    often = Counter(windows)
+    inside = {i + j for i, w in enumerate(windows) if often[w] > 1 for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if SPACE.search(x)]
+    failed = len(tokens) < 20 or 100 * len(inside) > 30 * len(tokens)
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(tokens), sum(map(len, tokens)), symbols, len(lines) - len(set(lines)), len(inside), failed
+
+
+def test_quality(spark, some_docs, odd_docs, docs_of):
+    marked = docs_of([(900 + i, " ".join(f"w{j}*** |" for j in range(i, i + 40)), "s") for i in range(15)])
+    docs = some_docs.unionByName(marked).unionByName(odd_docs)
+    model = quality.fit(docs, spark.range(0, 30).withColumnRenamed("id", "doc_id"), buckets=256)
+    judged = quality.judge(docs.select("doc_id", "text"), model).collect()
+    texts = Counter((r["doc_id"], brute_counts(r["text"])) for r in docs.collect())
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r["doc_id"], tuple(r[n] for n in names)) for r in judged) == texts
+    assert not any(r["kept"] for r in judged if (r["doc_id"] or 0) >= 900)
+    assert all(r["kept"] == (not r["base_failed"]) for r in judged if (r["doc_id"] or 0) < 80 and r["doc_id"] not in (6, 7))
+    assert quality.good_documents(docs, model).columns == docs.columns
+    none = quality.fit(docs, spark.range(0).withColumnRenamed("id", "doc_id"))
+    assert {r["score"] for r in quality.judge(docs.select("doc_id", "text"), none).collect()} == {0.0}
+    assert quality.judge(odd_docs.select("doc_id", "text").limit(0), model).count() == 0
+
+
+# --- mixing
+
+
+def test_highest_quotients(spark):
+    draw = random.Random(4)
+    for seats in (0, 1, 7, 60):
+        weights = [draw.randrange(0, 50) for _ in range(8)]
+        table = spark.createDataFrame([(0, i, w, seats) for i, w in enumerate(weights)], "g int, k int, w long, seats long")
+        got = {r["k"]: r["quota"] for r in mixing.highest_quotients(table, ["g"], "k", "w", "seats").collect()}
+        ranked = sorted(((-w / (n - 0.5), i, n) for i, w in enumerate(weights) if w for n in range(1, seats + 1)))
+        assert got == {i: Counter(i for _, i, _ in ranked[:seats])[i] for i in range(8)}
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    full, left = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in full]
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        above = [s for s in free if share[s] > 3 * sizes[s]]
+        if not above:
+            return full | share
+        full |= {s: 3 * sizes[s] for s in above}
+        left = sum(sizes.values()) - sum(full.values())
+
+
+def test_mixing(some_docs, odd_docs):
+    for docs in (some_docs, odd_docs, some_docs.unionByName(odd_docs)):
+        rows = mixing.mix(docs, shard_rows=8).collect()
+        sizes = Counter()
+        for r in docs.collect():
+            sizes[r["source"]] += len(SPACE.findall(r["text"] or ""))
+        want = brute_targets(sizes)
+        taken = Counter()
+        for r in rows:
+            taken[r["source"]] += r["taken"]
+            assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
+            assert 0 <= r["taken"] <= 3 * r["size"]
+        assert len(rows) == docs.count()
+        assert all(abs(taken[s] - want[s]) <= max(200, 0.03 * want[s]) for s in sizes)
+        again = mixing.mix(docs.repartition(7), shard_rows=8).collect()
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+    assert mixing.mix(odd_docs.limit(0)).count() == 0
+    assert mixing.mixed(some_docs).columns == some_docs.columns
+
+
+# --- search
+
+
+def test_search(some_docs, odd_docs):
+    docs = some_docs.unionByName(odd_docs)
+    rows = [(r["doc_id"], re.findall(r"[^\W_]+", (r["text"] or "").lower())) for r in docs.collect()]
+    frequency = Counter(t for _, tokens in rows for t in set(tokens))
+    mean = sum(len(t) for _, t in rows) / len(rows)
+
+    def score(query, tokens):
+        counts, total = Counter(tokens), 0.0
+        for term, n in Counter(query).items():
+            idf = math.log(1 + (len(rows) - frequency[term] + 0.5) / (frequency[term] + 0.5))
+            total += n * idf * counts[term] * 2.2 / (counts[term] + 1.2 * (0.25 + 0.75 * len(tokens) / mean))
+        return total
+
+    got = defaultdict(list)
+    for r in topk.search(docs, some_docs.where("doc_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["score"])
+    for doc_id, tokens in rows[:90:10]:
+        want = sorted((score(tokens, t) for _, t in rows if set(t) & set(tokens)), reverse=True)[:5]
+        assert np.allclose(got[doc_id], want, atol=1e-3)
+    assert topk.search(docs.limit(0), docs.limit(0)).count() == 0
+
+
+# --- sharding
+
+
+def test_sharding(some_docs, odd_docs):
+    for docs, n in ((some_docs, 4), (odd_docs, 3)):
+        rows = sharding.shard(docs, n).collect()
+        want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+        sizes, slots = Counter(), defaultdict(list)
+        for r in rows:
+            sizes[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(n))
+        largest = max(r["size"] for r in rows)
+        assert max(sizes.values()) <= sum(sizes.values()) / n + largest
+    assert sharding.shard(odd_docs.limit(0)).count() == 0
+
+
+# --- secrets
+
+
+def test_secrets(docs_of, odd_docs):
+    draw = random.Random(6)
+    code = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(60):
+        key = "token = " if i % 2 else "password="
+        rows.append((i, f"the words before {key}{code(28)} and 10.1.2.{i} or mail{i}@host{i}.example.com see img/a{i}.png", "s"))
+    docs = docs_of(rows)
+    found = secrets.scan(docs).collect()
+    good = [r for r in found if r["name"] in ("token", "password")]
+    assert len(good) == 60 and all(r["secret"] for r in good)
+    assert not any(r["secret"] for r in found if r["name"] is None)
+    clean = secrets.redacted(docs.unionByName(odd_docs))
+    assert clean.columns == docs.columns and clean.count() == 70
+    assert clean.where("text LIKE '%[SECRET]%'").count() == 60
+    assert clean.where("n_chars != length(text)").count() == 0
+    assert secrets.scan(odd_docs.limit(0)).count() == 0 and secrets.scan(odd_docs).where("secret").count() == 0
+
+
+# --- urls
+
+
+def test_urls(spark):
+    pages = [
+        (1, "HTTP://WWW.Bad.example.com:80/x/?utm_source=a&b=2&a=1#top"), (2, "https://m.example.net/en/1"), (3, "https://a.net"),
+        (4, "http://a.net/"), (5, "http://x.example.com/de/2"), (6, None), (7, "no scheme"), (8, "http://q.org/fr/"),
+        (8, "http://q.org/fr/"), (None, "http://clean.example.org/?x=http://a.net/"),
+    ]
+    page_table = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, block string")
+    listed = spark.createDataFrame([("http://bad.example.com/x?a=1&b=2",), (None,), ("junk",)], "url string")
+    got = urls.judge(page_table, listed, queries.RULES).collect()
+    want = [
+        (1, "www.bad.example.com:80", "/x/", None, "block"), (2, "m.example.net", "/en/1", "example.net/en/", "allow"),
+        (3, "a.net", "", None, "allow"), (4, "a.net", "/", "net/", "block"),
+        (5, "x.example.com", "/de/2", "example.com/de/", "block"), (6, "", "", None, "allow"), (7, "", "", None, "allow"),
+        (8, "q.org", "/fr/", "org/fr/", "allow"), (8, "q.org", "/fr/", "org/fr/", "allow"),
+        (None, "clean.example.org", "/", None, "allow"),
+    ]
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert urls.judge(page_table.limit(0), listed.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, SF_DIR)
+    assert pieces.count() > 100 and pieces.where("length > 1024").count() == 0
