@@ -61,6 +61,9 @@ class _Elsewhere:
     def get(self, key, default=None):
         return self.folder if key == "spark.checkpoint.dir" else default
 
+    def getCheckpointDir(self):  # noqa: N802  as the context names it
+        return None
+
 
 def test_a_cluster_needs_a_shared_folder():
     assert shared_folder(_Elsewhere("hdfs:///shared")) == "hdfs:///shared"
