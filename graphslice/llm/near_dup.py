@@ -30,6 +30,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6  # at similarity 0.8 a pair shares no band once in 440
 HUB_ROUNDS = 3
 BROADCAST_ROWS = 1 << 20
+CHUNK, TEXT_COST = 1 << 17, 1 << 10  # words that a task hashes at once, and what a text adds for its arrivals
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -55,6 +56,15 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def shingle_lists(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """:func:`shingles` of each text; text i has the words ``hashes[ends[i]:ends[i + 1]]``."""
+    across = shingles(hashes)  # with runs that leave a text, which are not taken
+    return [
+        across[start : end - SHINGLE + 1] if end - start >= SHINGLE else shingles(hashes[start:end])
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    ]
+
+
 def _uniform(elements: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
     """Numbers above 0 and up to 1, each drawn by element and number of the draw."""
     bits = mix(elements + (np.asarray(draw, np.uint64) + np.uint64(1)) * _GOLDEN)
@@ -63,47 +73,65 @@ def _uniform(elements: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
 
 def signature(found: np.ndarray, slots: int = BANDS * ROWS) -> np.ndarray:
     """The element that arrives first at each slot."""
-    elements, counts = np.unique(found, return_counts=True)
-    weights = counts / counts.sum()
+    return signatures([found], slots)[0]
+
+
+def signatures(lists: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
+    """A row of first arrivals for each text; none of the texts' lists is empty."""
+    sets = [np.unique(found, return_counts=True) for found in lists]
+    elements = np.concatenate([e for e, _ in sets])
+    weights = np.concatenate([n / n.sum() for _, n in sets])
+    texts = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    first = np.zeros(len(sets) * slots, np.uint64)
     limit = slots * (np.log(slots) + _SURE)
-    while True:
-        times, owners, places = _arrivals(elements, weights, limit, slots)
-        latest_first = np.argsort(-times, kind="stable")
-        first = np.full(slots, np.uint64(0))
-        filled = np.zeros(slots, bool)
-        first[places[latest_first]] = owners[latest_first]
-        filled[places] = True
-        if filled.all():
-            return first
+    while len(elements):
+        times, of, places = _arrivals(elements, weights, limit, slots)
+        spots = texts[of] * slots + places
+        earliest = np.full(len(first), np.inf)
+        np.minimum.at(earliest, spots, times)
+        won = times == earliest[spots]
+        first[spots[won]] = elements[of[won]]
+        unfilled = np.isinf(earliest).reshape(-1, slots).any(axis=1)[texts]
+        elements, weights, texts = elements[unfilled], weights[unfilled], texts[unfilled]
         limit *= 2
+    return first.reshape(-1, slots)
 
 
 def _arrivals(
     elements: np.ndarray, weights: np.ndarray, limit: float, slots: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Time, element and slot of every arrival up to ``limit``."""
-    found = []
-    now, draw = np.zeros(len(elements)), 0
-    ahead = int(1.5 * limit / max(len(elements), 1)) + 1  # most elements of a long text arrive late or once
-    while len(elements):
-        draws = np.arange(draw, draw + ahead, dtype=np.uint64)
-        gaps = -np.log(_uniform(elements[:, None], 2 * draws)) / weights[:, None]
-        times = now[:, None] + np.cumsum(gaps, axis=1)
-        at, nth = np.nonzero(times <= limit)
-        place = (_uniform(elements[at], 2 * draws[nth] + np.uint64(1)) * slots).astype(np.int64) % slots
-        found.append((times[at, nth], elements[at], place))
-        goes_on = times[:, -1] <= limit
-        elements, weights, now = elements[goes_on], weights[goes_on], times[goes_on, -1]
-        draw += ahead
-        ahead = int(min(1024, max(4, limit * weights.max(initial=0) * 1.2)))
+    """Time, place in ``elements`` and slot of every arrival up to ``limit``.
+
+    Elements that expect about as many arrivals are drawn together. What is
+    drawn for one depends on its hash and weight alone, not on its neighbours.
+    """
+    found, going = [], [(np.arange(len(elements)), np.zeros(len(elements)), np.zeros(len(elements), np.uint64))]
+    while going:
+        every, now, drawn = (np.concatenate(parts) for parts in zip(*going, strict=True))
+        hoped = (limit - now) * weights[every]
+        levels = np.minimum(np.ceil(np.log2(1.25 * hoped + 1)), 10).astype(np.int64)
+        going = []
+        for level in np.unique(levels).tolist():
+            some = np.flatnonzero(levels == level)
+            of = every[some]
+            draws = drawn[some][:, None] + np.arange(1 << level, dtype=np.uint64)
+            gaps = -np.log(_uniform(elements[of][:, None], 2 * draws)) / weights[of][:, None]
+            times = now[some][:, None] + np.cumsum(gaps, axis=1)
+            row, nth = np.nonzero(times <= limit)
+            place = (_uniform(elements[of[row]], 2 * draws[row, nth] + np.uint64(1)) * slots).astype(np.int64) % slots
+            found.append((times[row, nth], of[row], place))
+            on = times[:, -1] <= limit
+            if on.any():
+                going.append((of[on], times[on, -1], draws[on, -1] + np.uint64(1)))
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
 def band_keys(first: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` slots."""
-    keys = np.arange(len(first) // rows, dtype=np.uint64)
-    for slot in first.reshape(-1, rows).T:
-        keys = mix(keys * _GOLDEN + slot)
+    """A 64-bit key for each band of ``rows`` slots of each signature."""
+    bands = first.reshape(len(first), -1, rows)
+    keys = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2])
+    for i in range(rows):
+        keys = mix(keys * _GOLDEN + bands[:, :, i])
     return keys.view(np.int64)
 
 
@@ -113,26 +141,39 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
+def _chunks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about CHUNK words together, where a text counts as TEXT_COST words more."""
+    part = (ends[:-1] - ends[0] + TEXT_COST * np.arange(len(ends) - 1)) // CHUNK
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends) - 1], strict=True)
+
+
 def _per_text(make, name: str):
-    """All columns but the last, which has word hashes, with ``make`` of the shingles in its place."""
+    """All columns but the last, which has word hashes, with ``make`` of the texts' shingles in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                kept = batch.columns[:-1]
-                made = [make(shingles(h.values.to_numpy(zero_copy_only=False))) for h in batch.columns[-1]]
-                yield pa.RecordBatch.from_arrays([*kept, _lists(made)], [*batch.schema.names[:-1], name])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.columns[-1]
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            hashes = lists.values.to_numpy(zero_copy_only=False)
+            for low, high in _chunks(ends):
+                found = shingle_lists(hashes[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+                kept = [column.slice(low, high - low) for column in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, _lists(make(found))], [*batch.schema.names[:-1], name])
 
     return run
 
 
-def _keys_of(found: np.ndarray) -> np.ndarray:
-    return band_keys(signature(found)) if len(found) else np.zeros(0, np.int64)
+def _keys_of(lists: list[np.ndarray]) -> list[np.ndarray]:
+    full = [found for found in lists if len(found)]
+    keys = iter(band_keys(signatures(full)) if full else ())
+    return [next(keys) if len(found) else np.zeros(0, np.int64) for found in lists]
 
 
-def _set_of(found: np.ndarray) -> np.ndarray:
-    return np.unique(found).view(np.int64)
+def _sets_of(lists: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.unique(found).view(np.int64) for found in lists]
 
 
 def print_of(tokens: Column) -> Column:
@@ -177,7 +218,7 @@ class Duplicates:
             wanted = F.broadcast(wanted)
         texts = self.docs.select(print_of(words(F.col("text"))).alias("print"), "text").join(wanted, "print")
         one = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _hashes(words(F.col("text"))).alias("hashes"))
-        sets = one.mapInArrow(_per_text(_set_of, "shingles"), "node long, shingles array<bigint>")
+        sets = one.mapInArrow(_per_text(_sets_of, "shingles"), "node long, shingles array<bigint>")
         return self.folder.save(sets.withColumn("size", F.size("shingles")), "sets")
 
     def _classes(self) -> DataFrame:
