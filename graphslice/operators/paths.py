@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from graphslice.functions import measures
 from graphslice.model import GraphSlice, PropertyGraph
 from graphslice.operators.views import Undirected, of_label, top_n
+from graphslice.plans import skew
 from graphslice.plans.workspace import Workspace
 
 
@@ -36,7 +37,7 @@ class Search(NamedTuple):
     rounds: int
 
 
-def _search(view: Undirected, starts: DataFrame, max_hops: int | None, targets: list | None = None) -> Search:
+def _search(view: Undirected, starts: DataFrame, max_hops: int | None, targets: DataFrame | None = None) -> Search:
     """Every vertex within ``max_hops`` of each start.
 
     All starts advance together, one level of all searches per round. In an
@@ -45,17 +46,26 @@ def _search(view: Undirected, starts: DataFrame, max_hops: int | None, targets:
     against everything visited. The level tables are the result: ``dist`` is
     the folder name of a level, so nothing is rewritten at the end.
 
-    With ``targets`` the search also ends once every start has met them all.
+    With ``targets`` (``id``, once each) the search also ends once every start
+    has met them all. Levels then carry a flag that no reader looks at; it is
+    counted as they are written.
     """
     workspace = view.workspace
     id_type = starts.schema["id"].dataType
     schema = T.StructType([T.StructField("landmark", id_type), T.StructField("id", id_type)])
-    met = F.count_if(F.col("id").isin(targets or [])).alias("met")
+    if targets is not None:
+        asked = workspace.write(targets.select("id"), "targets")["rows"]
+        flags = skew.bounded(workspace.read("targets").withColumn("target", F.lit(True)), asked)
+
+    def write(rows: DataFrame, number: int) -> dict[str, int]:
+        name = f"levels/dist={number}"
+        if targets is None:
+            return workspace.write(rows, name)
+        return workspace.write(rows.join(flags, "id", "left"), name, F.count_if("target").alias("met"))
 
     level = 0
-    first = starts.select(F.col("id").alias("landmark"), "id")
-    fresh = workspace.write(first, "levels/dist=0", met)
-    wanted = fresh["rows"] * len(targets) - fresh["met"] if targets else None
+    fresh = write(starts.select(F.col("id").alias("landmark"), "id"), 0)
+    wanted = None if targets is None else fresh["rows"] * asked - fresh["met"]
     with view.adjacency() as adjacency:
         while fresh["rows"] and wanted != 0 and (max_hops is None or level < max_hops):
             recent = [f"levels/dist={d}" for d in (level - 1, level) if d >= 0]
@@ -63,9 +73,7 @@ def _search(view: Undirected, starts: DataFrame, max_hops: int | None, targets:
             seen = workspace.read(*recent, schema=schema)
             reached = adjacency.expand(last).select("landmark", F.col("dst").alias("id")).distinct()
             level += 1
-            fresh = workspace.write(
-                reached.join(seen, ["landmark", "id"], "left_anti"), f"levels/dist={level}", met
-            )
+            fresh = write(reached.join(seen, ["landmark", "id"], "left_anti"), level)
             if wanted is not None:
                 wanted -= fresh["met"]
     workspace.drop("pairs", "hot")
@@ -138,10 +146,10 @@ def path_pairs(source: GraphSlice | PropertyGraph, subset_size: int) -> DataFram
     degrees = view.degree()
     users = top_n(degrees.filter(of_label(F.col("id"), measures.USER_LABEL)), subset_size)
     products = top_n(degrees.filter(of_label(F.col("id"), measures.PRODUCT_LABEL)), subset_size)
-    targets = [row.id for row in products.select("id").collect()]  # subset_size rows
-    starts = users if targets else users.limit(0)
-    found = _search(view, starts, None, targets).found
-    return found.filter(F.col("id").isin(targets)).select(
+    found = _search(view, users, None, products).found
+    # A separate read of the products, for ``found`` stems from them too.
+    wanted = view.workspace.read("targets")
+    return found.join(skew.bounded(wanted, subset_size), "id", "left_semi").select(
         F.col("landmark").alias("from_a"), "id", F.col("dist").alias("path_len")
     )
 

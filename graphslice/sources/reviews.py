@@ -30,14 +30,21 @@ def _value(lines: Column, key: str) -> Column:
     return measures.strip(F.substr(last, F.instr(last, ":") + 1))
 
 
-def read_records(spark: SparkSession, path: str, newline: str = "\n") -> DataFrame:
+def line_end(spark: SparkSession, path: str) -> str:
+    """How the first line of the files at ``path`` ends; only that line is read."""
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).first()
+    return "\r\n" if first is not None and first["value"].endswith("\r") else "\n"
+
+
+def read_records(spark: SparkSession, path: str, newline: str | None = None) -> DataFrame:
     """One row per record: the six used fields as text, and its place ``ord``.
 
     The reader splits large plain files between records. A gzip file is one
     task, so large input should come as many files. ``newline`` is the line
-    end of the files. ``ord`` rises in file order, file names first.
+    end of the files, all alike; it is looked up where it is not given.
+    ``ord`` rises in file order, file names first.
     """
-    blocks = spark.read.option("lineSep", newline * 2).text(path)
+    blocks = spark.read.option("lineSep", (newline or line_end(spark, path)) * 2).text(path)
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     placed = blocks.select(
         F.regexp_replace(text, "\r\n?", "\n").alias("block"),
@@ -86,6 +93,6 @@ def review_vertices(records: DataFrame) -> DataFrame:
     )
 
 
-def read_review_graph(spark: SparkSession, path: str, newline: str = "\n") -> PropertyGraph:
+def read_review_graph(spark: SparkSession, path: str, newline: str | None = None) -> PropertyGraph:
     records = read_records(spark, path, newline)
     return PropertyGraph(review_vertices(records), review_edges(records))

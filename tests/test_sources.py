@@ -52,18 +52,17 @@ NAMES = [("u_v", "V"), ("u_w", "W"), ("u_x", "José: the first"), ("u_y", "Y")]
 def test_raw_reviews(spark, tmp_path, rows, form):
     data = RAW.encode("latin-1")
     path = str(tmp_path / "reviews.txt")
-    newline = "\n"
     if form == "gzip":
         path += ".gz"
         with gzip.open(path, "wb") as out:
             out.write(data)
     else:
         if form == "crlf":
-            newline = "\r\n"
             data = data.replace(b"\n", b"\r\n")
         with open(path, "wb") as out:
             out.write(data)
-    graph = reviews.read_review_graph(spark, path, newline)
+    graph = reviews.read_review_graph(spark, path)
+    assert reviews.line_end(spark, path) == ("\r\n" if form == "crlf" else "\n")
     assert rows(graph.edges) == EDGES
     users = graph.vertices.filter("label = 'User'")
     assert rows(users, "id", "name") == NAMES
