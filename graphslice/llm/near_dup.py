@@ -6,6 +6,12 @@ arrival, so two texts agree at a slot with their probability Jaccard
 similarity. Arrivals are drawn up to a time by which all slots are filled
 (early termination); what would come later cannot change the signature.
 
+Copies that repeat a line a different number of times differ in their weights
+but hardly in their sets. So a text that repeats shingles has a second
+signature, in which each distinct shingle weighs the same; there two texts
+agree at a slot with the Jaccard similarity of their sets. For other texts the
+two signatures are equal.
+
 Slots are hashed in bands. Texts that share a band are compared with one text
 of the band, another in each round, and after some rounds with every text of
 the band that is not linked to them yet. A link is an exact Jaccard
@@ -167,9 +173,16 @@ def _per_text(make, name: str):
 
 
 def _keys_of(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct band keys of each text: of its weighted signature, and of its set's where they differ."""
     full = [found for found in lists if len(found)]
-    keys = iter(band_keys(signatures(full)) if full else ())
-    return [next(keys) if len(found) else np.zeros(0, np.int64) for found in lists]
+    sets = [np.unique(found) for found in full]
+    repeating = [len(s) < len(found) for found, s in zip(full, sets, strict=True)]
+    both = full + [s for s, twice in zip(sets, repeating, strict=True) if twice]
+    keys = band_keys(signatures(both)) if both else ()
+    of_sets = iter(keys[len(full) :])
+    weighted = zip(keys[: len(full)], repeating, strict=True)
+    found_keys = iter([np.unique(np.append(k, next(of_sets))) if twice else k for k, twice in weighted])
+    return [next(found_keys) if len(found) else np.zeros(0, np.int64) for found in lists]
 
 
 def _sets_of(lists: list[np.ndarray]) -> list[np.ndarray]:

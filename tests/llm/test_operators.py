@@ -175,6 +175,17 @@ def test_near_duplicates(some_docs, odd_docs):
     assert near_dup.Duplicates(odd_docs.limit(0)).classes().count() == 0
 
 
+def test_copies_that_repeat_a_line(docs_of):
+    draw = random.Random(12)
+    rows = []
+    for i in range(30):
+        text = " ".join(f"t{i}x{draw.randrange(10**6)}" for _ in range(204))
+        rows += [(2 * i, text, "s"), (2 * i + 1, text + f"\n{i} all rights are reserved" * 40, "s")]
+    want = brute_classes([r[:2] for r in rows])
+    assert set(want) == {(i, i // 2 * 2, 2) for i in range(60)}
+    assert sorted(map(tuple, near_dup.Duplicates(docs_of(rows)).classes().collect()), key=str) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(200, dtype=np.uint64), np.arange(40, 240, dtype=np.uint64)
     first = [near_dup.signature(near_dup.mix(np.repeat(x, 1 + x.astype(int) % 3)), 4096) for x in (a, b)]
