@@ -12,7 +12,7 @@ from graphslice.llm import license_scan, mixing, near_dup, packing, quality, sec
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Host labels of the listed pages, and the rules the query's contract names.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "free-bets")
+LISTED_LABELS = ("spam-farm", "cheap-pills", "free-bets", "casino-win", "ads-track", "adult-x")
 RULES = (
     urls.Rule("block", "net", "/"),
     urls.Rule("allow", "example.net", "/en/"),
@@ -84,9 +84,15 @@ def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
-    """The list: URLs of pages on hosts with a label that is known for spam."""
+    """The list: URLs of pages on hosts with a label that is known for spam.
+
+    It writes each URL in a spelling of its own, so that only the canonical form finds the page.
+    """
     labels = F.split(urls.host_of(F.col("url")), r"\.")
-    return pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS)))).select("url")
+    listed = pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS))))
+    plain = urls.canonical(F.col("url"))
+    sign = F.when(F.contains(plain, F.lit("?")), "&").otherwise("/?")
+    return listed.select(F.concat(F.lit("HTTP://WWW."), plain, sign, F.lit("utm_source=list#seen")).alias("url"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

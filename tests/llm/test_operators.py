@@ -363,6 +363,28 @@ def test_urls(spark):
     assert urls.judge(page_table.limit(0), listed.limit(0)).count() == 0
 
 
+def test_url_query_lists_all_spam_hosts(spark):
+    found = queries.op10_url_filter(spark, "/root/testdata/sf0.1").collect()
+    spam = {r for r in found if "-" in r["host"]}
+    assert {part for r in spam for part in r["host"].split(".") if "-" in part} == set(queries.LISTED_LABELS)
+    assert {r for r in found if r["verdict"] == "block" and not r["rule"]} == {r for r in spam if not r["rule"]}
+
+
+def test_any_list_in_other_spellings(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BITS_PER_URL", 2)  # many false positives of the filter
+    draw = random.Random(8)
+    clean = [f"host{draw.randrange(40)}.example/p{i}" + ("?a=1&b=2" if i % 3 else "") for i in range(2000)]
+    spellings = ("https://{}", "http://www.{}", "HTTPS://WWW.{}#top")
+    pages = spark.createDataFrame(
+        [(i, draw.choice(spellings).format(u)) for i, u in enumerate(clean)], "page_id long, url string"
+    )
+    some = set(draw.sample(range(2000), 700))
+    other = [clean[i].replace("?a=1&b=2", "/?b=2&utm_source=x&a=1") for i in some] + [f"gone.example/{i}" for i in range(700)]
+    listed = spark.createDataFrame([(draw.choice(spellings).format(u),) for u in other], "url string")
+    got = urls.judge(pages, listed).where("verdict = 'block'").collect()
+    assert {r["page_id"] for r in got} == some
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
