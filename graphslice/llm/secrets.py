@@ -1,7 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word, or the part behind a sign of assignment, that could be
-a key: eight or more characters of the alphabets in use, one of them a digit.
+A candidate is any part of a word that could be a key: eight or more characters
+of the alphabets in use, one of them a digit. Behind a secret's name the digit
+is not needed, and the value with all its other signs is a candidate as well.
 The forest sees its length, its character transitions, how much of it a
 dictionary of the corpus covers, path-like parts, and the words next to it.
 """
@@ -22,9 +23,15 @@ FINDINGS_PER_CLASS = 8192  # labelled findings that a forest is fitted on, at mo
 TREES, DEPTH, SEED = 24, 6, 11
 REDACTED = "[SECRET]"
 
-_CORE = r"([A-Za-z0-9+/_.@\-]{7,}[A-Za-z0-9+/_\-]={0,2})[^A-Za-z0-9]*$"
+_SIGNS = r"A-Za-z0-9+/_.@\-"
+_RUN = f"([{_SIGNS}]+)([^{_SIGNS}]*)"  # with what stands between it and the next
 _ASSIGNED = r"([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?\s*[=:]"
 _SECRET_NAME = r"(?i)pass|pwd|secret|token|key|auth|cred"
+#: Any signs up to a quote, or to a separator that a further name follows.
+_ANY = r"((?:(?![&,;][\"']?[A-Za-z_][A-Za-z0-9_.\-]*[\"']?[=:])[^\"'])+)"
+_ANY_ASSIGNED = (
+    r"((?i:[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|auth|cred)[A-Za-z0-9_.\-]*))[\"'\\]*(?:=>|:=|[=:])[\"']?" + _ANY
+)
 FEATURES = (
     "length", "digits", "uppers", "lowers", "hex", "digit_letter", "lower_upper", "vowel_consonant",
     "covered", "slashes", "dots", "ats", "assigned", "secret_name", "quoted", "known_before", "known_after",
@@ -40,30 +47,65 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def found(tokens: Column) -> Column:
         def one(word: Column, i: Column) -> Column:
-            value = F.regexp_extract(word, _CORE, 1)
-            own = F.lower(F.regexp_extract(word, _ASSIGNED, 1))
             before = F.get(tokens, i - 1)
             earlier = F.when(before.isin("=", ":"), F.lower(F.get(tokens, i - 2)))
-            earlier = F.coalesce(earlier, F.lower(F.regexp_extract(before, _ASSIGNED + "$", 1)))
-            name = F.when(own != "", own).when(earlier != "", earlier)
+            earlier = F.coalesce(earlier, F.lower(F.regexp_extract(before, _ASSIGNED + "$", 1)), F.lit(""))
+            could = word.rlike("[0-9]") | word.rlike(_SECRET_NAME) | before.rlike("[=:]$")
             return F.when(
-                word.rlike("[0-9]") & (F.length(word) >= 8) & value.rlike("[0-9]"),
-                F.struct(
-                    i.cast("long").alias("place"),
-                    name.alias("name"),
-                    value.alias("value"),
-                    word.rlike("[\"']").alias("quoted"),
-                    F.lower(before).alias("before"),
-                    F.lower(F.get(tokens, i + 1)).alias("after"),
+                (F.length(word) >= 8) & could,
+                F.transform(
+                    let(earlier, lambda name: _parts(word, name)),
+                    lambda part: F.struct(
+                        i.cast("long").alias("place"),
+                        part["name"].alias("name"),
+                        part["value"].alias("value"),
+                        word.rlike("[\"']").alias("quoted"),
+                        F.lower(before).alias("before"),
+                        F.lower(F.get(tokens, i + 1)).alias("after"),
+                    ),
                 ),
             )
 
-        return F.filter(F.transform(tokens, one), lambda c: c.isNotNull())
+        return F.flatten(F.filter(F.transform(tokens, one), lambda c: c.isNotNull()))
 
     each = docs.select("key", "doc_id", F.explode(let(words(F.col("text")), found)).alias("found"))
     return each.select("key", "doc_id", "found.*")
 
 
+def _parts(word: Column, earlier: Column) -> Column:
+    """The candidates in a word, as structs of ``name`` and ``value``; ``earlier`` is a name before the word, or empty."""
+    between = F.regexp_extract_all(word, F.lit(_RUN), F.lit(2))
+    part = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+
+    def of_runs(runs: Column, gaps: Column) -> Column:
+        def one(run: Column, k: Column) -> Column:
+            assigned = F.get(gaps, k - 1).rlike(r"^[\"'\\\]]*(=>|:=|[=:])")
+            own = F.when(assigned, F.lower(F.regexp_extract(F.get(runs, k - 1), r"([A-Za-z_][A-Za-z0-9_.\-]*)$", 1)))
+            name = F.when(own != "", own).when(earlier != "", earlier)
+            padding = F.when(k == F.size(runs) - 1, F.regexp_extract(F.get(gaps, k), "^={1,2}", 0)).otherwise(
+                F.regexp_extract(F.get(gaps, k), r"^(={1,2})(?:[^=\"'>].*|[\"'].+)$", 1)
+            )
+            core = F.regexp_extract(run, r"^(.*?)[.@]*$", 1)
+            return F.when(F.length(core) >= 8, part(name, F.concat(core, padding)))
+
+        return F.transform(runs, one)
+
+    runs = let(
+        F.regexp_extract_all(word, F.lit(_RUN), F.lit(1)), lambda r: let(between, lambda gaps: of_runs(r, gaps))
+    )
+    runs = F.filter(runs, lambda p: p.isNotNull() & (p["value"].rlike("[0-9]") | F.coalesce(p["name"], F.lit("")).rlike(_SECRET_NAME)))
+    wholes = F.zip_with(
+        F.regexp_extract_all(word, F.lit(_ANY_ASSIGNED), F.lit(1)),
+        F.regexp_extract_all(word, F.lit(_ANY_ASSIGNED), F.lit(2)),
+        lambda name, value: part(F.lower(name), value),
+    )
+    alone = F.when(earlier.rlike(_SECRET_NAME), F.array(part(earlier, F.regexp_extract(word, "^[\"']?" + _ANY, 1))))
+    wholes = F.concat(wholes, F.coalesce(alone, F.array().cast("array<struct<name:string,value:string>>")))
+    trimmed = F.transform(wholes, lambda p: part(p["name"], F.regexp_replace(p["value"], r"[.,;:)\]}\\]+$", "")))
+    signed = lambda p: (F.length(p["value"]) >= 8) & p["value"].rlike(f"[^{_SIGNS}=]")
+    return F.array_distinct(F.concat(runs, F.filter(trimmed, signed)))
+
+
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent words of three or more letters in the whole corpus; ties by word."""
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
