@@ -84,6 +84,18 @@ def _unique(words: list[str], start: int, end: int) -> dict[str, int]:
     return {words[i]: i for i in range(start, end) if counts[words[i]] == 1}
 
 
+def telling_places(words: list[str]) -> frozenset[int]:
+    """Where a template names its version or variant; a closing 0 may be left out."""
+    variants = ("lesser", "affero", "sharealike", "noncommercial", "noderivatives")
+    places: set[int] = set()
+    for i, word in enumerate(words):
+        after = words[i - 1] if i else ""
+        version = word.isdigit() and (after in ("version", "attribution", *variants) or i - 1 in places)
+        if word != "0" and (version or word in variants or re.fullmatch("v[0-9]+", word) or "cc" in words[:i]):
+            places.add(i)
+    return frozenset(places)
+
+
 @dataclass(frozen=True)
 class Template:
     """A license's words, those that tell it, and how many of them a finding must have."""
@@ -93,6 +105,7 @@ class Template:
     telling: frozenset[str]
     least: int
     reach: int  # words from a finding's first to its last, at most
+    must: frozenset[int]  # places of the words that tell versions and variants, all to be aligned
 
     @classmethod
     def of(cls, name: str, text: str) -> Template:
@@ -100,7 +113,7 @@ class Template:
         telling = frozenset(w for w in found if len(w) >= TELLING)
         others = sum(w not in telling for w in found)
         wanted = -int(-COVERAGE * len(found) // 1)
-        return cls(name, found, telling, max(1, wanted - others), int(wanted / DENSITY) + 1)
+        return cls(name, found, telling, max(1, wanted - others), int(wanted / DENSITY) + 1, telling_places(found))
 
     def findings(self, text: list[str]) -> Iterator[tuple[int, int, int]]:
         """First and last word and number of aligned words of each place that covers the template."""
@@ -115,7 +128,7 @@ class Template:
             if sum((Counter(window) & counts).values()) < needed:
                 continue
             pairs = align(window, self.words)
-            if len(pairs) < needed:
+            if len(pairs) < needed or not self.must <= {b for _, b in pairs}:
                 continue
             first, last = start + pairs[0][0], start + pairs[-1][0]
             if len(pairs) >= DENSITY * (last - first + 1):

@@ -52,3 +52,28 @@ General Public License for more details.""",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "All rights reserved": "All rights reserved.",
 }
+
+# The same wordings of other versions and variants.
+for _version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+    for _variant in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        TEMPLATES.setdefault(f"CC-{_variant}-{_version}", f"Licensed under CC {_variant} {_version}.")
+for _version in ("1.0", "1.1"):
+    TEMPLATES[f"Apache-{_version}"] = f"Licensed under the Apache License, Version {_version}."
+_GPL, _GPL_HEADER = TEMPLATES["GPL-3.0"], TEMPLATES["GPL-3.0 header"].replace("\n", " ")
+for _name, _kind, _version in (
+    ("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("LGPL-2.0", "Lesser ", "2"), ("LGPL-2.1", "Lesser ", "2.1"),
+    ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"),
+):
+    for _text, _suffix in ((_GPL, ""), (_GPL_HEADER, " header")):
+        _text = _text.replace("GNU General", f"GNU {_kind}General").replace("version 3", f"version {_version}")
+        TEMPLATES[_name + _suffix] = _text
+for _name, _kind in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")):  # no version given
+    TEMPLATES[_name] = f"This work is licensed under the GNU {_kind}General Public License"
+    for _version in ("2", "3"):
+        TEMPLATES[f"{_name}-{_version}.0 notice"] = f"{TEMPLATES[_name]} v{_version}"
+_NOTICE = TEMPLATES["CC-BY-4.0 notice"]
+for _variant, _kind in (
+    ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"),
+    ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"),
+):
+    TEMPLATES[f"CC-{_variant}-4.0 notice"] = _NOTICE.replace("Attribution", f"Attribution{_kind}")

@@ -88,6 +88,25 @@ def test_licenses(docs_of, odd_docs):
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_license_versions():
+    from graphslice.llm.license_texts import TEMPLATES
+
+    scanner = license_scan.Scanner(TEMPLATES)
+    header = TEMPLATES["GPL-3.0 header"]
+    texts = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        header: ["GPL-3.0 header"], header.replace("version 3", "version 2"): ["GPL-2.0 header"],
+        "Licensed under the Apache License, Version 1.0": ["Apache-1.0"], "Licensed under the Apache License, Version 7.3": [],
+        "Licensed under CC BY-SA 3.0.": ["CC-BY-SA-3.0"], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "Licensed under CC BY 4.": ["CC-BY-4.0"],
+        "This work is licensed under the GNU General Public License v3.": ["GPL-3.0 notice"],
+        "This work is licensed under the GNU General Public License.": ["GPL"],
+        TEMPLATES["CC-BY-4.0 notice"].replace("Attribution", "Attribution-ShareAlike"): ["CC-BY-SA-4.0 notice"],
+    }
+    assert {text: [hit[0] for hit in scanner.scan(text)] for text in texts} == texts
+
+
 # --- packing
 
 
