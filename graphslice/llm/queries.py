@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphslice.llm import license_scan, mixing, near_dup, packing, quality, secrets, sharding, topk, toxicity, urls
+from graphslice.llm import (
+    license_scan, manifest, mixing, near_dup, packing, quality, secrets, sharding, topk, toxicity, urls,
+)
+from graphslice.llm.oracle import ORACLE as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +103,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, listed_pages(pages), RULES)
 
 
+def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some texts are found in lower case; the manifest tells which."""
+    text = F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = F.when(tampered, manifest.lower_ascii(text)).otherwise(text)
+    return manifest.Manifest(table(spark, sf_dir, "documents"), found).verify()
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_toxicity": op1_compression_toxicity,
     "op2_license_patience": op2_license_patience,
@@ -111,5 +122,5 @@ QUERIES: dict[str, Query] = {
     "op8_histogram_sort": op8_histogram_sort,
     "op9_secret_forest": op9_secret_forest,
     "op10_url_filter": op10_url_filter,
+    "op11_midstate_manifest": op11_midstate_manifest,
 }
-ORACLE: dict[str, str] = {}
