@@ -311,9 +311,9 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """``doc_id, leaf, changed, subroot, root, path`` of every document; a step of ``path`` has the midstate
         before its slot and the digests ``left`` and ``right`` of it."""
-        ends = self.root.select(
-            F.lit("").alias("key"), F.array().cast(f"array<{_STEP}>").alias("path"), F.lit(None).cast("string").alias("subroot"), "root"
-        )
+        none = F.array().cast(f"array<{_STEP}>").alias("path")
+        ends = self.root.select(F.lit("").alias("key"), none, F.lit(None).cast("string").alias("subroot"), "root")
+        ends = self.folder.save(ends, "root")
         tops = _leaf_paths(self.tops, self.top_levels, ends, self.folder, "top")
         above = self.folder.save(
             tops.select(F.col("item.name").alias("key"), "path", F.col("item.digest").alias("subroot"), "root"), "above"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphslice.llm import (
-    license_scan, manifest, mixing, near_dup, packing, quality, secrets, sharding, topk, toxicity, urls,
+    license_scan, manifest, mixing, near_dup, nearest, packing, periodic, quality, secrets, sharding, topk, toxicity, urls,
 )
 from graphslice.llm.oracle import ORACLE as ORACLE
 
@@ -111,6 +111,41 @@ def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.Manifest(table(spark, sf_dir, "documents"), found).verify()
 
 
+def op12_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = nearest.Index(table(spark, sf_dir, "embeddings"))
+    found = index.search(index.rows.where("vec_id % 20 = 0"), 20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with a periodic tail in every tenth document, as the query's contract says."""
+    drawn = F.crc32(F.col("doc_id").cast("string"))
+    ninth = F.floor(drawn / 10)
+    start = lambda n: ninth % n
+    period = lambda n: 1 + F.floor((n - start(n)) / (3 + ninth % 8))
+    tail = periodic.with_tail(F.col("text"), start, period)
+    return docs.select("doc_id", F.when(drawn % 10 == 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted(table(spark, sf_dir, "documents")))
+    # A comparison that sorts first what is longest, then starts first, then has the least period.
+    first = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    best = F.array_min(first)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("(-1000 * best.l) div best.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_toxicity": op1_compression_toxicity,
     "op2_license_patience": op2_license_patience,
@@ -123,4 +158,6 @@ QUERIES: dict[str, Query] = {
     "op9_secret_forest": op9_secret_forest,
     "op10_url_filter": op10_url_filter,
     "op11_midstate_manifest": op11_midstate_manifest,
+    "op12_collision_counting": op12_collision_counting,
+    "op13_dyadic_runs": op13_dyadic_runs,
 }
