@@ -5,8 +5,10 @@ projection: one sorted array for each line. A query stands at its own
 projection in each array and opens a window around it, as wide as its search
 radius asks. Vectors that lie in enough of the windows are verified with the
 exact measure. While the nearest verified are further than the radius, the
-radius grows and the same arrays serve with wider windows (virtual rehashing);
-only what a window gains is counted.
+radius grows and the same arrays serve with wider windows (virtual rehashing).
+A search starts at a radius that most sampled vectors of the shard would need,
+and where windows hold more than half of the arrays, what lies outside of them
+is counted instead.
 
 Largest inner products become least distances by one more component, which
 makes all vectors as long as the longest; a query has 0 there.
@@ -30,8 +32,10 @@ from graphslice.plans.shipping import ship_package
 from graphslice.plans.workspace import Workspace
 
 SHARD, BLOCK = 8192, 2048  # vectors of a shard, queries that one task puts to it; about
-LINES, WIDTH, MISS = 64, 1.5, 0.04
-FIRST_RADIUS, GROWTH, DIAMETER = 0.125, 1.3, 2.0  # all vectors have a length of 1
+LINES, WIDTH, MISS = 64, 3.5, 0.04
+SAMPLE, START_RANK, START_SHARE = 32, 20, 0.75  # vectors whose distance to their 20th neighbour gives the first radius
+GROWTH, DIAMETER = 1.3, 2.0  # all vectors have a length of 1
+CLOSE = 1e-9  # of the lengths; scores that close are computed anew, in one way, before they are ranked
 _SEED = 20240229
 _LAST = np.iinfo(np.int64).max
 
@@ -74,12 +78,12 @@ class _Shard:
         self.longest = longest
         self.rows, self.ids = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
         self.vectors = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, dimensions).astype(np.float64)
-        self.keys = np.frombuffer(row["keys"], np.float32).reshape(LINES, -1)
-        self.order = np.frombuffer(row["places"], np.int32)
+        self.radius, size = row["radius"], len(self.rows)
+        keys = np.frombuffer(row["keys"], np.float32).reshape(LINES, -1)
+        self.order = np.frombuffer(row["places"], np.int32).astype(np.int64)
         # One array for all lines: a line's keys lie beside those of the next.
-        size = len(self.rows)
-        self.apart = 4 * float(np.abs(self.keys).max(initial=0)) + 1
-        self.flat = (self.keys + self.apart * np.arange(LINES)[:, None]).ravel()
+        self.apart = 4 * float(np.abs(keys).max(initial=0)) + 1
+        self.flat = (keys + self.apart * np.arange(LINES)[:, None]).ravel()
         self.low, self.high = size * np.arange(LINES), size * np.arange(1, LINES + 1)
 
     def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -89,45 +93,45 @@ class _Shard:
         high = np.searchsorted(self.flat, at + reach, "right")
         return np.clip(low, self.low, self.high), np.clip(high, self.low, self.high)
 
+    def collisions(self, centres: np.ndarray, radius: float) -> np.ndarray:
+        """In how many windows each vector lies."""
+        size, (low, high) = len(self.rows), self.windows(centres, radius * WIDTH / 2)
+        inside = 2 * int((high - low).sum()) <= len(self.order)
+        ends = [(low, high)] if inside else [(self.low, low), (high, self.high)]
+        parts = [self.order[a:b] for begin, end in ends for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
+        counts = np.bincount(np.concatenate(parts), minlength=size) if parts else np.zeros(size, np.int64)
+        return counts if inside else LINES - counts
+
     def nearest(self, query: np.ndarray, centres: np.ndarray, own: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the ``k`` nearest found, but for the row ``own``."""
-        size = len(self.rows)
-        counts, open_ = np.zeros(size, np.int64), np.ones(size, bool)
-        open_[self.rows == own] = False
+        unseen = self.rows != own
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        reach = math.sqrt(float(query @ query)) * self.longest
-        low = high = np.searchsorted(self.flat, centres + self.apart * np.arange(LINES))
-        low = high = np.clip(low, self.low, self.high)
-        radius = FIRST_RADIUS
+        reach, radius = math.sqrt(float(query @ query)) * self.longest, self.radius
         while True:
+            new = np.flatnonzero(unseen if radius >= DIAMETER else unseen & (self.collisions(centres, radius) >= least))
+            unseen[new] = False
+            places, scores = np.append(places, new), np.append(scores, self.vectors[new] @ query)
+            if len(scores) > k:
+                last = np.partition(scores, len(scores) - k)[len(scores) - k]
+                near = scores >= last - CLOSE * reach
+                places, scores = places[near], scores[near]
             if radius >= DIAMETER:
-                new = np.flatnonzero(open_)
-            else:
-                wide_low, wide_high = self.windows(centres, radius * WIDTH / 2)
-                gained = [
-                    self.order[a:b]
-                    for a, b in zip([*wide_low, *high], [*np.minimum(low, wide_high), *wide_high], strict=True)
-                    if a < b
-                ]
-                low, high = np.minimum(wide_low, low), np.maximum(wide_high, high)
-                if gained:
-                    counts += np.bincount(np.concatenate(gained), minlength=size)
-                new = np.flatnonzero((counts >= least) & open_)
-            if len(new):
-                open_[new] = False
-                places = np.append(places, new)
-                scores = np.append(scores, (self.vectors[new] * query).sum(axis=1))
-                best = np.lexsort((self.rows[places], self.ids[places], -scores))[:k]
-                places, scores = places[best], scores[best]
-            if radius >= DIAMETER:
-                return places, scores
-            grown = radius * GROWTH
-            if len(places) == k:
-                last = math.sqrt(max(0.0, 2 - 2 * scores[-1] / reach))
-                if last <= radius:
-                    return places, scores
-                grown = min(grown, last)
-            radius = grown
+                break
+            last = math.sqrt(max(0.0, 2 - 2 * float(scores.min()) / reach)) if len(scores) >= k else radius * GROWTH
+            if last <= radius:
+                break
+            radius = last
+        # Equal vectors must have equal scores, wherever they stand.
+        scores = (self.vectors[places] * query).sum(axis=1)
+        best = np.lexsort((self.rows[places], self.ids[places], -scores))[:k]
+        return places[best], scores[best]
+
+
+def _first_radius(unit: np.ndarray) -> float:
+    """A distance within which most of some vectors, evenly taken, have their 20th neighbour in the shard."""
+    some = unit[:: max(1, len(unit) // SAMPLE)][:SAMPLE]
+    square = np.sort(np.maximum(0.0, 2 - 2 * some @ unit.T), axis=1)
+    return float(np.sqrt(np.quantile(square[:, min(START_RANK, len(unit) - 1)], START_SHARE)))
 
 
 def _index_of(dimensions: int, longest: float):
@@ -137,7 +141,8 @@ def _index_of(dimensions: int, longest: float):
         vectors = _matrix(table.column("embedding"), dimensions)
         unit = vectors.astype(np.float64) / longest
         rest = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
-        keys = (np.column_stack([unit, rest]) @ _lines(dimensions).T).T.astype(np.float32)
+        unit = np.column_stack([unit, rest])
+        keys = (unit @ _lines(dimensions).T).T.astype(np.float32)
         places = np.argsort(keys, axis=1, kind="stable")
         parts = {
             "shard": table.column("shard")[0].as_py(),
@@ -145,6 +150,7 @@ def _index_of(dimensions: int, longest: float):
             "ids": _numbers(table.column("vec_id")).tobytes(),
             "vectors": vectors.tobytes(),
             "kind": vectors.dtype.str,
+            "radius": max(_first_radius(unit), 1e-6),
             "keys": np.take_along_axis(keys, places, axis=1).tobytes(),
             "places": places.astype(np.int32).tobytes(),
         }
@@ -153,10 +159,10 @@ def _index_of(dimensions: int, longest: float):
     return build
 
 
-_INDEX = "shard long, rows binary, ids binary, vectors binary, kind string, keys binary, places binary"
+_INDEX = "shard long, rows binary, ids binary, vectors binary, kind string, radius double, keys binary, places binary"
 _INDEX_ARROW = pa.schema([
     ("shard", pa.int64()), ("rows", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary()),
-    ("kind", pa.string()), ("keys", pa.binary()), ("places", pa.binary()),
+    ("kind", pa.string()), ("radius", pa.float64()), ("keys", pa.binary()), ("places", pa.binary()),
 ])
 _FOUND = "query_row long, query_id long, row long, vec_id long, score double"
 
