@@ -260,7 +260,7 @@ ORACLE: dict[str, str] = {
     "raw_review_edges": f"""WITH {RAW} SELECT 'u_' || o_custkey AS src, 'p_' || l_partkey AS dst, score,
 helpfulness, "timestamp" FROM clean WHERE {USABLE}""",
     "raw_review_vertices": f"""WITH {RAW}
-SELECT DISTINCT 'u_' || o_custkey AS id, 'User' AS label, 'José: ' || o_custkey AS name FROM raw WHERE {USABLE}
+SELECT 'u_' || o_custkey AS id, 'User' AS label, 'José: ' || min(l_orderkey) AS name FROM raw WHERE {USABLE} GROUP BY o_custkey
 UNION ALL SELECT DISTINCT 'p_' || l_partkey, 'Product', '' FROM raw WHERE {USABLE}""",
     "build_edges": select_edges("true"),
     "edges_csv_roundtrip": select_edges("true"),

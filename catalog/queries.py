@@ -68,18 +68,19 @@ def clean_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order lines as raw review text files, read back as records.
 
-    Every eleventh customer is anonymous, and the profile name on a review
-    tells which order line it came from.
+    Every eleventh customer is anonymous. The profile name on a review tells
+    which order it came from, and the files are in order of the order lines,
+    so the first name of a user is that of the first order.
     """
     lines = order_lines(spark, sf_dir, "l_linenumber", "l_quantity", "l_shipdate")
-    texts = raw_texts(lines, "o_custkey", "l_partkey")
+    texts = raw_texts(lines, "o_custkey", "l_partkey", "l_orderkey", "l_linenumber")
     user = F.when(F.col("o_custkey") % 11 == 0, F.lit(measures.ANONYMOUS_USER)).otherwise(
         F.col("o_custkey").cast("string")
     )
     values = {
         "product": F.col("l_partkey").cast("string"),
         "user": user,
-        "name": F.concat(F.lit("José: "), user),
+        "name": F.concat(F.lit("José: "), F.col("l_orderkey").cast("string")),
         "helpfulness": F.col("helpfulness"),
         "score": F.col("score"),
         "time": F.col("time"),
@@ -87,7 +88,8 @@ def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat_ws("\n", *(F.concat(F.lit(f"{reviews.KEYS[k]}: "), v) for k, v in values.items()))
     workspace = Workspace(spark, "raw")
     latin1 = F.encode(F.concat(block, F.lit("\n")), "ISO-8859-1").cast("string")
-    texts.select(latin1.alias("value")).write.text(workspace.path("reviews"))
+    ordered = texts.orderBy("l_orderkey", "l_linenumber")
+    ordered.select(latin1.alias("value")).write.text(workspace.path("reviews"))
     return reviews.read_records(spark, workspace.path("reviews"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.functions import measures
+from graphslice.plans.workspace import scope
+
+T_ = TypeVar("T_")
 
 EDGE_SCHEMA = T.StructType(
     [
@@ -66,12 +70,21 @@ class PropertyGraph:
         return per_label.unionByName(vertices).unionByName(edges)
 
 
+class _Owned:
+    """Tables that the queries on an open slice share, and how many blocks have it open."""
+
+    def __init__(self):
+        self.blocks = 0
+        self.tables: dict[tuple, object] = {}
+
+
 @dataclass(frozen=True)
 class GraphSlice:
     """A graph with the list of dices that cut it out of the base graph."""
 
     graph: PropertyGraph
     predicates: tuple[str, ...] = field(default=())
+    _owned: _Owned = field(default_factory=lambda: _Owned(), init=False, compare=False, repr=False)
 
     @property
     def vertices(self) -> DataFrame:
@@ -94,6 +107,32 @@ class GraphSlice:
         )
         return counts.agg(F.max("vertices").alias("vertices"), F.max("edges").alias("edges"))
 
+    @contextmanager
+    def open(self) -> Iterator[GraphSlice]:
+        """Let the queries of a ``with`` block share this slice's undirected tables.
+
+        The first that needs them writes them. The end of the outermost block
+        deletes them together with all other tables written in it, so results
+        must be stored or collected inside.
+        """
+        owned = self._owned
+        owned.blocks += 1
+        try:
+            with scope(self.edges.sparkSession) if owned.blocks == 1 else nullcontext():
+                yield self
+        finally:
+            owned.blocks -= 1
+            if not owned.blocks:
+                owned.tables.clear()
+
+    def shared(self, key: tuple, make: Callable[[], T_]) -> T_ | None:
+        """What ``make`` gave the first time it was asked for by ``key``; None where no block has the slice open."""
+        if not self._owned.blocks:
+            return None
+        if key not in self._owned.tables:
+            self._owned.tables[key] = make()
+        return self._owned.tables[key]
+
     @contextmanager
     def cached(self) -> Iterator[GraphSlice]:
         """Keep this slice cached for the length of a ``with`` block.

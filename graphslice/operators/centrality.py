@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from math import isqrt
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphslice.model import GraphSlice, PropertyGraph, as_slice
-from graphslice.operators.views import Undirected, number_vertices, numbered_hot, numbered_pairs
+from graphslice.operators.views import Undirected, number_vertices, numbered_pairs
 from graphslice.plans import skew
 from graphslice.plans.workspace import Workspace, literal_rows
 
@@ -19,6 +19,13 @@ DAMPING = 0.85
 
 TOP_ROWS = 10
 
+# Forward lists travel in pieces of about this many vertices.
+PIECE = 1024
+
+# A round of core numbers looks at all rows as long as one vertex in so many changes.
+FEW = 8
+MOST = 2**31 - 1
+
 
 class Clustering(NamedTuple):
     per_vertex: DataFrame
@@ -35,6 +42,29 @@ class PageRank(NamedTuple):
 class KCores(NamedTuple):
     profile: DataFrame
     members: DataFrame
+    rounds: DataFrame
+
+
+def _forward_lists(oriented: DataFrame, pairs: int) -> DataFrame:
+    """(u, pieces, vs): whom each vertex points at, in sorted pieces of bounded size."""
+    longest = isqrt(2 * pairs) + 1
+    pieces = F.ceil(F.least("degree", F.lit(longest)) / F.lit(PIECE))
+    return oriented.groupBy("u", pieces.alias("pieces"), F.pmod(F.xxhash64("v"), pieces).alias("piece")).agg(
+        F.sort_array(F.collect_list("v")).alias("vs")
+    ).drop("piece")
+
+
+def _sent(lists: DataFrame) -> DataFrame:
+    """(u, v, ws): what u tells v it points at; from a list in one piece only what comes after v."""
+    alone = lists.filter("pieces = 1").select("u", "vs", F.posexplode("vs").alias("place", "v"))
+    after = F.slice("vs", F.col("place") + 2, F.size("vs"))
+    many = lists.filter("pieces > 1")
+    every = many.select("u", F.col("vs").alias("ws")).join(many.select("u", "vs"), "u")
+    return (
+        alone.select("u", "v", after.alias("ws"))
+        .filter(F.size("ws") > 0)
+        .unionByName(every.select("u", F.explode("vs").alias("v"), "ws"))
+    )
 
 
 def _triangles_by_number(view: Undirected, numbers: DataFrame) -> DataFrame:
@@ -42,23 +72,28 @@ def _triangles_by_number(view: Undirected, numbers: DataFrame) -> DataFrame:
 
     Vertex numbers rise with degree and every pair points at the higher
     number, so a vertex points at no more than sqrt(2 * pairs) others, hubs
-    included, and that is the longest list there can be. For each pair u -> v
-    the list of v travels to u and is matched with the list of u: one row per
-    pair, and each triangle is met once, at its lowest vertex.
+    included. Lists travel in pieces of about ``PIECE``. For each pair u -> v
+    what u points at beyond v travels to v and is matched there with the list
+    of v: each triangle is met once, at its middle vertex. A vertex that is
+    sent more than one task can take is spread by who sends.
     """
     workspace = view.workspace
     pairs = numbered_pairs(view, numbers).filter(F.col("a") != F.col("b"))
-    workspace.write(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), "oriented")
-    oriented = workspace.read("oriented", schema="u bigint, v bigint")
-    workspace.write(oriented.groupBy("u").agg(F.collect_list("v").alias("ahead")), "ahead")
-    ahead = workspace.read("ahead", schema="u bigint, ahead array<bigint>")
-
-    # A list of one closes no triangle at its own end but can at the other's.
-    carried = skew.salted_join(
-        oriented, ahead.toDF("v", "theirs"), "v", F.col("u"), numbered_hot(numbers, view.hot)
-    )
-    met = carried.join(ahead.filter(F.size("ahead") > 1), "u")
-    shared = met.select("u", "v", F.array_intersect("theirs", "ahead").alias("w")).filter(F.size("w") > 0)
+    lower = F.least("a_degree", "b_degree").alias("degree")
+    oriented = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), lower)
+    made = _forward_lists(oriented, view.pair_count)
+    length = F.size("vs").cast("double") * F.col("pieces")
+    volume = workspace.write(made, "ahead", F.sum(F.size("vs") * length).alias("volume"))["volume"]
+    lists = workspace.read("ahead", schema=made.schema)
+    limit = skew.hot_rows(workspace.spark, int(volume))
+    hot = None
+    if volume > limit:
+        told = lists.select(F.explode("vs").alias("v"), length.alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
+        if workspace.write(skew.hot_keys(told, "v", "n", limit), "told")["rows"]:
+            hot = workspace.read("told")
+    theirs = lists.select(F.col("u").alias("v"), F.col("vs").alias("theirs"))
+    met = skew.salted_join(_sent(lists), theirs, "v", F.col("u"), hot)
+    shared = met.select("u", "v", F.array_intersect("ws", "theirs").alias("w")).filter(F.size("w") > 0)
     corner = lambda vid, n: F.struct(vid.alias("vid"), n.cast("bigint").alias("n"))
     corners = F.concat(
         F.array(corner(F.col("u"), F.size("w")), corner(F.col("v"), F.size("w"))),
@@ -110,43 +145,110 @@ def local_clustering_coefficient(source: GraphSlice | PropertyGraph) -> Clusteri
     return Clustering(per_vertex, clustering_summary(per_vertex), top_clustering(per_vertex))
 
 
+def _h_index(heard: DataFrame) -> DataFrame:
+    """(id, h) of rows (id, core): the largest h such that h of an id's rows have at least h.
+
+    Equal values are counted first, so a vertex has a list of its different values only.
+    """
+    counted = heard.groupBy("id", "core").agg(F.count(F.lit(1)).alias("n"))
+    falling = F.sort_array(F.collect_list(F.struct("core", "n")), asc=False)
+    start = F.struct(F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("best"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        above = so_far["above"] + x["n"]
+        return F.struct(above.alias("above"), F.greatest(so_far["best"], F.least(x["core"], above)).alias("best"))
+
+    return counted.groupBy("id").agg(F.aggregate(falling, start, step, lambda end: end["best"]).alias("h"))
+
+
+class _Cores:
+    """Core numbers of a view, none counted above ``top``, by repeated h-indices.
+
+    A vertex starts with its degree and takes the h-index of its neighbours'
+    values until none changes; what it then has is its core number, and all k
+    are found at once. While many vertices change, all neighbour rows are
+    looked at; later those alone around a change that can matter.
+    """
+
+    def __init__(self, view: Undirected, adjacency: skew.Adjacency, top: int):
+        self.view, self.adjacency, self.workspace = view, adjacency, view.workspace
+        self.log: list[tuple[int, int]] = []
+        capped = F.least("degree", F.lit(top).cast("bigint")).alias("core")
+        start = adjacency.degree().select("id", capped, F.lit(True).alias("moved"))
+        self.schema = start.schema
+        seen = self.workspace.write(start, "core-0")
+        rounds, changed = 0, seen["rows"]
+        while changed:
+            values = self.workspace.read(f"core-{rounds}", schema=self.schema)
+            everywhere = changed * FEW >= seen["rows"]
+            rows = adjacency.rows.select(F.col("src").alias("id"), "dst") if everywhere else self._around(values)
+            heard = self._with_core(rows, values).select("id", "core")
+            core = F.least("core", F.coalesce("h", "core"))
+            after = values.join(_h_index(heard), "id", "left").select(
+                "id", core.alias("core"), (core < F.col("core")).alias("moved")
+            )
+            seen = self.workspace.write(after, f"core-{rounds + 1}", F.count_if("moved").alias("changed"))
+            self.workspace.drop(f"core-{rounds}")
+            rounds += 1
+            changed = seen["changed"]
+            self.log.append((rounds, changed))
+        self.values = self.workspace.read(f"core-{rounds}", schema=self.schema).select("id", "core")
+
+    def _with_core(self, rows: DataFrame, values: DataFrame) -> DataFrame:
+        """``rows`` (id, dst) with the ``core`` of ``dst``."""
+        found = values.select(F.col("id").alias("dst"), "core")
+        return skew.salted_join(rows.select("id", "dst"), found, "dst", F.col("id"), self.view.hot)
+
+    def _around(self, values: DataFrame) -> DataFrame:
+        """Neighbour rows (id, dst) of the vertices that a change may lower: those still above a neighbour's new value."""
+        told = self.adjacency.expand(values.filter("moved").select("id", F.col("core").alias("least")))
+        least = told.groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("least"))
+        near = least.join(values, "id").filter("core > least").select("id")
+        return self.adjacency.expand(near).select("id", "dst")
+
+    def ends(self) -> DataFrame:
+        """(id, level) of each neighbour row: the highest k for which both of its ends are in the core."""
+        rows = self.adjacency.expand(self.values.withColumnRenamed("core", "own")).select("id", "own", "dst")
+        theirs = self.values.select(F.col("id").alias("dst"), "core")
+        both = skew.salted_join(rows, theirs, "dst", F.col("id"), self.view.hot)
+        return both.select("id", F.least("own", "core").alias("level"))
+
+
+def core_numbers(source: GraphSlice | PropertyGraph) -> DataFrame:
+    """(id, core): the highest k for which the vertex is in the k-core."""
+    view = Undirected(source, Workspace(source.edges.sparkSession, "cores"))
+    with view.adjacency() as adjacency:
+        found = _Cores(view, adjacency, MOST).values
+    view.drop()
+    return found
+
+
 def k_cores(source: GraphSlice | PropertyGraph, max_k: int) -> KCores:
-    """3b: the size of the k-core for k = 1 .. ``max_k``, and the last core's vertices.
+    """3b: the size of the k-core for k = 1 .. ``max_k``, and the last core's vertices with their degrees in it.
 
-    The state is one row per surviving vertex with its degree among the
-    survivors. A round deletes the vertices below k and takes their edges off
-    their neighbours' degrees, so the edges are never rewritten and each is
-    looked at no more than once per end. Each k starts from the core before
-    it. The first empty k is reported and ends the profile.
+    All cores come from one run of core numbers; ``iterations`` are the rounds
+    that run took, the same for each k. The first empty k is reported and ends
+    the profile. ``rounds`` tells how many vertices each round changed.
     """
     spark = source.edges.sparkSession
     view = Undirected(source, Workspace(spark, "kcore"))
     workspace = view.workspace
-    schema = T.StructType([view.degree().schema["id"], T.StructField("degree", T.LongType())])
-    metrics = (F.min("degree").alias("least"), F.sum("degree").alias("ends"))
-    profile: list[tuple[int, int, int, int]] = []
     with view.adjacency() as adjacency:
-        state = workspace.write(adjacency.degree(), "core-0", *metrics)
-        rounds = 0
-        for k in range(1, max_k + 1):
-            before = rounds
-            while state["rows"] and state["least"] < k:
-                alive = workspace.read(f"core-{rounds}", schema=schema)
-                dropped = alive.filter(F.col("degree") < k).select("id")
-                lost = (
-                    adjacency.expand(dropped).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
-                )
-                left = F.col("degree") - F.coalesce("lost", F.lit(0).cast("bigint"))
-                kept = alive.filter(F.col("degree") >= k).join(lost, "id", "left").select("id", left.alias("degree"))
-                state = workspace.write(kept, f"core-{rounds + 1}", *metrics)
-                workspace.drop(f"core-{rounds}")
-                rounds += 1
-            profile.append((k, state["rows"], state["ends"] // 2, rounds - before + 1))
-            if not state["rows"]:
-                break
-    workspace.drop("pairs", "hot")
+        cores = _Cores(view, adjacency, max_k)
+        # One row per core number, of which there are no more than max_k.
+        vertices = dict(cores.values.groupBy("core").count().collect())
+        levels = cores.ends()
+        ends = dict(levels.groupBy("level").count().collect())
+        from_k = lambda counts, k: sum(n for level, n in counts.items() if level >= k)
+        last = next((k for k in range(1, max_k + 1) if not from_k(vertices, k)), max_k)
+        profile = [(k, from_k(vertices, k), from_k(ends, k) // 2, len(cores.log)) for k in range(1, last + 1)]
+        inside = levels.filter(F.col("level") >= last).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        members = workspace.save(inside, "members")
+    view.drop()
+    workspace.drop(f"core-{len(cores.log)}")
     columns = "k int, core_vertices bigint, core_edges bigint, iterations int"
-    return KCores(literal_rows(spark, profile, columns), workspace.read(f"core-{rounds}", schema=schema))
+    rounds = literal_rows(spark, cores.log, "round int, changed bigint")
+    return KCores(literal_rows(spark, profile, columns), members, rounds)
 
 
 def page_rank(

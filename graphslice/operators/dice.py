@@ -1,7 +1,8 @@
 """Dices: each takes a slice and returns the smaller slice it cuts out.
 
-All are lazy and chain in the order they are called. The vertices of the
-result are exactly the ends of the kept edges. Bounds are inclusive.
+They chain in the order they are called. All but the popularity dice are
+lazy. The vertices of the result are exactly the ends of the kept edges.
+Bounds are inclusive.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from graphslice.functions.measures import OTHER_YEAR, utc_year
 from graphslice.model import EDGE_SCHEMA, GraphSlice, PropertyGraph, as_slice, endpoints
 from graphslice.plans import skew
+from graphslice.plans.workspace import Workspace
 
 
 def induced_vertices(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,14 +68,27 @@ def product_reviews(edges: DataFrame) -> DataFrame:
 
 
 def dice_popularity(source: GraphSlice | PropertyGraph, min_reviews: int) -> GraphSlice:
-    """Reviews of the products that have at least ``min_reviews`` in this slice."""
+    """Reviews of the products that have at least ``min_reviews`` in this slice.
+
+    The products are counted and written at once, so that every use of the
+    slice reads a short table instead of counting again. A list that is proven
+    short is sent to the reviews; a longer one meets them by product, where a
+    hot product's reviews are spread.
+    """
     source = as_slice(source)
-    limit = skew.hot_rows(source.edges.sparkSession)
+    spark = source.edges.sparkSession
+    workspace = Workspace(spark, "popular")
     popular = product_reviews(source.edges).filter(F.col("n") >= min_reviews)
-    keep = popular.select("dst", skew.salts(skew.fan_of(F.col("n"), limit)).alias("salt"))
-    reviews = skew.spread(source.edges, "dst", F.col("src"), skew.hot_keys(popular, "dst", "n", limit))
-    kept = reviews.join(keep, ["dst", "salt"], "left_semi").select(source.edges.columns)
-    return _cut(source, kept, f"productReviews>={min_reviews}")
+    seen = workspace.write(popular, "products", F.sum("n").alias("reviews"))
+    found = workspace.read("products", schema=popular.schema)
+    if seen["rows"] <= skew.BROADCAST_ROWS:
+        kept = source.edges.join(F.broadcast(found.select("dst")), "dst", "left_semi")
+    else:
+        limit = skew.hot_rows(spark, seen["reviews"])
+        keep = found.select("dst", skew.salts(skew.fan_of(F.col("n"), limit)).alias("salt"))
+        reviews = skew.spread(source.edges, "dst", F.col("src"), skew.hot_keys(found, "dst", "n", limit))
+        kept = reviews.join(keep, ["dst", "salt"], "left_semi")
+    return _cut(source, kept.select(source.edges.columns), f"productReviews>={min_reviews}")
 
 
 def dice_sample(source: GraphSlice | PropertyGraph, fraction: float, seed: int) -> GraphSlice:

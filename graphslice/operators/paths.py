@@ -76,7 +76,7 @@ def _search(view: Undirected, starts: DataFrame, max_hops: int | None, targets:
             fresh = write(reached.join(seen, ["landmark", "id"], "left_anti"), level)
             if wanted is not None:
                 wanted -= fresh["met"]
-    workspace.drop("pairs", "hot")
+    view.drop()
     return Search(workspace.read("levels", schema=schema.add("dist", T.IntegerType())), level)
 
 

@@ -77,28 +77,56 @@ def top_hubs_by_label(source: GraphSlice | PropertyGraph, n: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+class _Pairs:
+    """The pairs of a slice as a table, with what is derived from them once."""
+
+    def __init__(self, edges: DataFrame, workspace: Workspace, measure: tuple[str, ...]):
+        self.workspace, self.measure = workspace, measure
+        pairs = undirected_pairs(edges, *measure)
+        self.count = workspace.write(pairs, "pairs")["rows"]
+        self.rows = workspace.read("pairs", schema=pairs.schema)
+        self.neighbours = both_ways(self.rows, *measure)
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return self.workspace.save(degree_of(self.neighbours), "degrees")
+
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        return skew.find_hot(self.neighbours, "src", 2 * self.count, self.workspace)
+
+
 class Undirected:
-    """The undirected view of a slice, written once for queries that reuse it."""
+    """The undirected view of a slice, written once for queries that reuse it.
+
+    The tables belong to the slice where a block has it open (see
+    :meth:`GraphSlice.open`), and else to the query's ``workspace``.
+    """
 
     def __init__(self, source: GraphSlice | PropertyGraph, workspace: Workspace, *measure: str):
+        cut = as_slice(source)
         self.workspace = workspace
-        self.measure = measure
-        pairs = undirected_pairs(as_slice(source).edges, *measure)
-        self.pair_count = workspace.write(pairs, "pairs")["rows"]
-        self.pairs = workspace.read("pairs", schema=pairs.schema)
-        self.neighbours = both_ways(self.pairs, *measure)
+        shared = cut.shared(measure, lambda: _Pairs(cut.edges, Workspace(workspace.spark, "slice"), measure))
+        self.owner = shared is None
+        self._tables = shared or _Pairs(cut.edges, workspace, measure)
+        self.pair_count, self.pairs, self.neighbours = self._tables.count, self._tables.rows, self._tables.neighbours
 
     def degree(self) -> DataFrame:
-        return degree_of(self.neighbours)
+        return degree_of(self.neighbours) if self.owner else self._tables.degrees
 
-    @cached_property
+    @property
     def hot(self) -> DataFrame | None:
         """Vertices with too many neighbour rows for one task, if there are any."""
-        return skew.find_hot(self.neighbours, "src", 2 * self.pair_count, self.workspace)
+        return self._tables.hot
 
     def adjacency(self) -> skew.Adjacency:
         return skew.Adjacency(self.neighbours, 2 * self.pair_count, self.hot)
 
+    def drop(self) -> None:
+        """Delete the tables, unless other queries may read them too."""
+        if self.owner:
+            self.workspace.drop("pairs", "hot")
+
 
 def number_vertices(degrees: DataFrame, workspace: Workspace, *order: str) -> DataFrame:
     """(id, degree, vid) with ``vid`` rising in the given order.

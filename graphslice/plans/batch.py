@@ -6,14 +6,16 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.model import GraphSlice, PropertyGraph, as_slice
 from graphslice.operators import centrality, dice, neighborhood, paths
 from graphslice.plans import skew
-from graphslice.plans.workspace import literal_rows, union_all
+from graphslice.plans.workspace import Workspace, literal_rows, union_all
+
+PARTS = 1000  # into which a round of counts cuts a range of values
 
 MEASUREMENT_SCHEMA = T.StructType(
     [
@@ -149,6 +151,29 @@ def run_batch(
     return {key: union_all(frames) for key, frames in parts.items()}
 
 
+def store_batch(
+    slices: Mapping[str, GraphSlice], plan: Sequence[tuple[str, str, dict]], path: str
+) -> dict[tuple[str, str], DataFrame]:
+    """:func:`run_batch` with each result stored under ``path``, slice by slice.
+
+    A slice is open while its queries run, so its undirected tables are written
+    once for all of them, and they and the queries' own tables are deleted when
+    its last result is stored.
+    """
+    made: dict[tuple[str, str], T.StructType] = {}
+    for name, cut in slices.items():
+        asked = [(query, params) for slice_name, query, params in plan if slice_name == name]
+        with cut.open():
+            for query, params in asked:
+                for table, df in evaluate(cut, query, **params).items():
+                    rows = df.withColumn("slice", F.lit(name))
+                    mode = "append" if (query, table) in made else "overwrite"
+                    rows.write.mode(mode).parquet(f"{path}/{query}/{table}")
+                    made[query, table] = rows.schema
+    spark = next(iter(slices.values())).edges.sparkSession
+    return {key: spark.read.schema(schema).parquet(f"{path}/{key[0]}/{key[1]}") for key, schema in made.items()}
+
+
 def slice_sizes(
     base: GraphSlice | PropertyGraph,
     thresholds: Sequence[int],
@@ -163,8 +188,10 @@ def slice_sizes(
     for those a second dice keeps, sizes every slice.
     """
     edges = as_slice(base).edges
-    limit = skew.hot_rows(edges.sparkSession)
+    workspace = Workspace(edges.sparkSession, "sizes")
     counts = dice.product_reviews(edges)
+    limit = skew.hot_rows(edges.sparkSession, workspace.write(counts, "products", F.sum("n").alias("total"))["total"])
+    counts = workspace.read("products", schema=counts.schema)
     # n also says how many salts a product's reviews are spread over.
     copies = counts.select("dst", "n", skew.salts(skew.fan_of(F.col("n"), limit)).alias("salt"))
     reviews = skew.spread(edges, "dst", F.col("src"), skew.hot_keys(counts, "dst", "n", limit))
@@ -240,14 +267,67 @@ def time_series(measured: DataFrame, size: str = "vertices_involved") -> DataFra
     return measured.select("query_class", size, "elapsed_ms", clipped.alias("log_ms")).orderBy("query_class", size)
 
 
+def exact_quantiles(values: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """(key, quantile) of the whole numbers in ``value`` for each ``key``, interpolated between two neighbours.
+
+    The two order statistics are closed in on by counts: a round cuts what is
+    left of their range into a thousand parts and counts the values in each,
+    so no task ever holds the values of a key.
+    """
+    workspace = Workspace(values.sparkSession, "quantiles")
+    given = values.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("x")).filter("x IS NOT NULL")
+    place = (F.col("n") - 1) * F.lit(q)
+    ends = F.array(F.struct(F.lit("low").alias("end"), F.floor(place)), F.struct(F.lit("high").alias("end"), F.ceil(place)))
+    state = (
+        given.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        .select("key", (place - F.floor(place)).alias("share"), "least", "most", F.inline(ends).alias("end", "rank"))
+    )
+    schema, widest = state.schema, F.max(F.col("most") - F.col("least")).alias("widest")
+    seen, number = workspace.write(state, "state-0", widest), 0
+    while seen["widest"] > 0:
+        state = workspace.read(f"state-{number}", schema=schema)
+        width = F.ceil((F.col("most") - F.col("least") + 1) / F.lit(PARTS)).cast("bigint")
+        sought = skew.bounded(state.withColumn("width", width).withColumnRenamed("key", "of"), seen["rows"])
+        near = given.join(sought, F.col("key").eqNullSafe(F.col("of")) & F.col("x").between(F.col("least"), F.col("most")))
+        same = ["of", "end", "share", "rank", "least", "most", "width"]
+        counted = near.groupBy(*same, F.expr("(x - least) div width").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("of", "end").orderBy("part"))  # a thousand rows at most
+        first = F.col("least") + F.col("part") * F.col("width")
+        state = (
+            counted.withColumn("upto", upto)
+            .filter("rank < upto AND rank >= upto - n")
+            .select(
+                F.col("of").alias("key"),
+                "share",
+                first.alias("least"),
+                F.least("most", first + F.col("width") - 1).alias("most"),
+                "end",
+                (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"),
+            )
+        )
+        number += 1
+        seen = workspace.write(state, f"state-{number}", widest)
+    found = workspace.read(f"state-{number}", schema=schema).groupBy("key")
+    both = found.agg(F.min("least").alias("a"), F.max("least").alias("b"), F.first("share").alias("share"))
+    return both.select("key", (F.col("a") + F.col("share") * (F.col("b") - F.col("a"))).alias("quantile"))
+
+
 def time_summary(measured: DataFrame) -> DataFrame:
     """One row per class and one for all: runs, median time, correlation with size."""
     figures = (
         F.count(F.lit(1)).alias("runs"),
-        F.percentile("elapsed_ms", F.lit(0.5)).alias("median_ms"),
         F.corr("elapsed_ms", "vertices_involved").alias("r_vertices"),
         F.corr("elapsed_ms", "edges_involved").alias("r_edges"),
     )
+    median = lambda rows: exact_quantiles(rows, "query_class", "elapsed_ms", 0.5).select(
+        F.col("key").alias("query_class"), F.col("quantile").alias("median_ms")
+    )
     per_class = measured.groupBy("query_class").agg(*figures)
-    pooled = measured.agg(*figures).select(F.lit("all").alias("query_class"), "runs", "median_ms", "r_vertices", "r_edges")
-    return per_class.unionByName(pooled)
+    pooled = measured.agg(*figures).select(F.lit("all").alias("query_class"), "runs", "r_vertices", "r_edges")
+    together = measured.withColumn("query_class", F.lit("all"))
+    return (
+        per_class.join(median(measured).withColumnRenamed("query_class", "of"), F.col("query_class").eqNullSafe(F.col("of")), "left")
+        .unionByName(pooled.join(median(together).withColumnRenamed("query_class", "of"), F.col("query_class") == F.col("of"), "left"))
+        .select("query_class", "runs", "median_ms", "r_vertices", "r_edges")
+    )

@@ -9,6 +9,8 @@ and the size Spark plans the next join with is the size of the files.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -78,6 +80,18 @@ def release(spark: SparkSession) -> None:
     _roots.clear()
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written in a ``with`` block at its end; results that read them must be stored before."""
+    before = list(_roots)
+    try:
+        yield
+    finally:
+        own = [root for root in _roots if root not in before]
+        _delete(spark, own)
+        _roots[:] = [root for root in _roots if root not in own]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

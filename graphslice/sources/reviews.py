@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphslice.functions import measures
 from graphslice.model import PropertyGraph
+from graphslice.plans.shipping import ship_package
+from graphslice.plans.workspace import Workspace
 
 # The keys of the raw format that are used.
 KEYS = {
@@ -17,47 +23,118 @@ KEYS = {
     "score": "review/score",
     "time": "review/time",
 }
-# A line of nothing but blanks also ends a record.
-BLANK_LINE = r"\n[\t\x0b\x0c\r \x1c-\x1f\x85\xa0]*\n"
-
+# A line of nothing but blanks ends a record.
+BLANK_LINE = r"^[\t\x0b\x0c \x1c-\x1f\x85\xa0]*$"
 
-def _value(lines: Column, key: str) -> Column:
-    """The value of the last line with ``key``; NULL when there is none."""
-    matching = F.filter(
-        lines, lambda line: line.contains(":") & (measures.strip(F.substring_index(line, ":", 1)) == key)
-    )
-    last = F.try_element_at(matching, F.lit(-1))
-    return measures.strip(F.substr(last, F.instr(last, ":") + 1))
+_PIECES = ", ".join(["file string, start long, number long, whole boolean", *(f"`{name}` string" for name in KEYS)])
 
 
-def line_end(spark: SparkSession, path: str) -> str:
-    """How the first line of the files at ``path`` ends; only that line is read."""
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).first()
-    return "\r\n" if first is not None and first["value"].endswith("\r") else "\n"
+class _Assembly:
+    """Fields of the records of one split, from its lines in order.
 
+    Records are numbered by the blank lines before them in the split. One that
+    begins and ends with a blank line there is whole; the first and the last
+    may go on in a neighbouring split and are told apart.
+    """
 
-def read_records(spark: SparkSession, path: str, newline: str | None = None) -> DataFrame:
+    def __init__(self, file: str, start: int):
+        self.file, self.start, self.number = file, start, 0
+        self.open: list[str | None] = [None] * len(KEYS)
+
+    def take(self, blank: np.ndarray, key: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+        """The records that the blank lines among some more lines end."""
+        number = np.cumsum(blank) - blank
+        ended = int(blank.sum())
+        last = np.full((len(KEYS), ended + 1), -1)
+        lines = np.flatnonzero(~blank)
+        last[key[lines], number[lines]] = lines  # of lines with one place the later stays
+        columns = []
+        for i, place in enumerate(last):
+            found = values.take(pa.array(place, mask=place < 0))
+            first = found[0].as_py() if found[0].is_valid else self.open[i]
+            found = pa.concat_arrays([pa.array([first], pa.string()), found[1:]])
+            self.open[i] = found[ended].as_py()
+            columns.append(found[:ended])
+        numbers = self.number + np.arange(ended)
+        self.number += ended
+        return self._rows(numbers, numbers > 0, columns)
+
+    def rest(self) -> pa.RecordBatch:
+        """What follows the last blank line, also when that is nothing: its number tells how many there were."""
+        return self._rows(np.array([self.number]), np.array([False]), [pa.array([v], pa.string()) for v in self.open])
+
+    def _rows(self, numbers: np.ndarray, whole: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+        same = [pa.array([self.file] * len(numbers), pa.string()), pa.array([self.start] * len(numbers), pa.int64())]
+        arrays = [*same, pa.array(numbers, pa.int64()), pa.array(whole), *columns]
+        return pa.RecordBatch.from_arrays(arrays, ["file", "start", "number", "whole", *KEYS])
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (``file, start, split, key, value``; key -1 for a blank line) to pieces of records."""
+    current, split = None, None
+    for batch in batches:
+        splits = batch.column("split").to_numpy()
+        if not len(splits):
+            continue
+        cuts = np.flatnonzero(splits[1:] != splits[:-1]) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(splits)], strict=True):
+            part = batch.slice(low, high - low)
+            if splits[low] != split:
+                if current is not None:
+                    yield current.rest()
+                split, current = splits[low], _Assembly(part.column("file")[0].as_py(), part.column("start")[0].as_py())
+            key = part.column("key").to_numpy()
+            yield current.take(key < 0, key, part.column("value"))
+    if current is not None:
+        yield current.rest()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: the six used fields as text, and its place ``ord``.
 
-    The reader splits large plain files between records. A gzip file is one
-    task, so large input should come as many files. ``newline`` is the line
-    end of the files, all alike; it is looked up where it is not given.
-    ``ord`` rises in file order, file names first.
+    Lines may end in any way, differently from file to file or line to line,
+    and large plain files are split anywhere: no row is longer than a line. A
+    gzip file is one task, so large input should come as many files. Records
+    are put together where their lines are read; only those at the ends of a
+    split are matched with the split before or after, by the number of blank
+    lines up to them. ``ord`` rises in file order, file names first. Of
+    repeated keys the last counts; a record with none of the six is no row.
     """
-    blocks = spark.read.option("lineSep", (newline or line_end(spark, path)) * 2).text(path)
+    ship_package(spark)
+    workspace = Workspace(spark, "records")
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    placed = blocks.select(
-        F.regexp_replace(text, "\r\n?", "\n").alias("block"),
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
+        text.alias("text"),
+    )
+    names = F.array(*(F.lit(key) for key in KEYS.values()))
+    key = F.array_position(names, measures.strip(F.substring_index("text", ":", 1))) - 1
+    blank = F.col("text").rlike(BLANK_LINE)
+    read = lines.select(
+        "file",
+        "start",
+        F.xxhash64("file", "start").alias("split"),
+        F.when(blank, -1).when(F.contains("text", F.lit(":")) & (key >= 0), key).cast("int").alias("key"),
+        F.when(~blank, measures.strip(F.substr("text", F.instr("text", ":") + 1))).alias("value"),
+    ).filter("key IS NOT NULL")
+    pieces = workspace.save(read.mapInArrow(_assembled, _PIECES), "pieces")
+
+    place = F.struct("file", "start", "number").alias("ord")
+    some = F.coalesce(*KEYS).isNotNull()
+    whole = pieces.filter(F.col("whole") & some).select(place, *KEYS)
+    # Two rows a split from here on.
+    ends = pieces.filter(~F.col("whole"))
+    blanks = ends.groupBy("file", "start").agg(F.max("number").alias("blanks"))
+    before = F.sum("blanks").over(Window.partitionBy("file").orderBy("start")) - F.col("blanks")
+    numbered = ends.join(blanks.select("file", "start", before.alias("before")), ["file", "start"]).withColumn(
+        "record", F.col("before") + F.col("number")
     )
-    pieces = placed.select(F.posexplode(F.split("block", BLANK_LINE)).alias("piece", "record"), "file", "start", "row")
-    lines = F.split(F.col("record"), "\n")
-    return pieces.select(
-        F.struct("file", "start", "row", "piece").alias("ord"),
-        *(_value(lines, key).alias(name) for name, key in KEYS.items()),
+    latest = lambda name: F.max(F.when(F.col(name).isNotNull(), F.struct("start", "number", name)))[name]
+    joined = numbered.groupBy("file", "record").agg(
+        F.min(F.struct("file", "start", "number")).alias("ord"), *(latest(name).alias(name) for name in KEYS)
     )
+    return whole.unionByName(joined.filter(some).select("ord", *KEYS))
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -93,6 +170,6 @@ def review_vertices(records: DataFrame) -> DataFrame:
     )
 
 
-def read_review_graph(spark: SparkSession, path: str, newline: str | None = None) -> PropertyGraph:
-    records = read_records(spark, path, newline)
+def read_review_graph(spark: SparkSession, path: str) -> PropertyGraph:
+    records = read_records(spark, path)
     return PropertyGraph(review_vertices(records), review_edges(records))

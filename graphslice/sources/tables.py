@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.functions import measures
 from graphslice.functions.measures import utc_year
 from graphslice.model import EDGE_SCHEMA, PropertyGraph, endpoints
+from graphslice.plans import skew
 from graphslice.plans.batch import MEASUREMENT_SCHEMA
+from graphslice.plans.workspace import Workspace
 
 YEAR_FILES = 64  # parts that the edges of one year are spread over
+SHORT_LIST = 100_000  # rows that one task may put in order
+COPIES = 1_000_000  # copies of one row that one task makes
 
 NAMED_VERTEX_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("id", "label", "name")]
@@ -92,8 +96,49 @@ def read_graph(spark: SparkSession, path: str, max_edges: int = 0) -> PropertyGr
 
 
 def cap_edges(edges: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` edges in order of their columns; all of them for n <= 0."""
-    return edges.orderBy(*EDGE_SCHEMA.names).limit(n) if n > 0 else edges
+    """The first ``n`` edges in order of their columns; all of them for n <= 0.
+
+    A short list is one small top-n. For more, equal edges are counted and the
+    distinct ones dealt to tasks by ranges of the order; the rows of each range
+    tell which one the cut falls in. Ranges before it are taken as they are,
+    and only that one is put in order.
+    """
+    if n <= 0:
+        return edges
+    columns = EDGE_SCHEMA.names
+    if n <= SHORT_LIST:
+        return edges.orderBy(*columns).limit(n)
+    spark = edges.sparkSession
+    workspace = Workspace(spark, "cap")
+    counted = edges.groupBy(*columns).agg(F.count(F.lit(1)).alias("repeats"))
+    distinct = workspace.write(counted, "counted")["rows"]
+    ranges = skew.partitions_for(spark, distinct)
+    ranged = workspace.read("counted", schema=counted.schema).repartitionByRange(ranges, *columns)
+    workspace.write(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    placed = workspace.read("ranged")
+    left, cut = n, None
+    for part, rows in placed.groupBy("part").agg(F.sum("repeats")).orderBy("part").collect():  # a row for each range
+        if rows > left:
+            cut = part
+            break
+        left -= rows
+    if cut is None:
+        return edges
+    before = F.sum("repeats").over(Window.orderBy(*columns)) - F.col("repeats")  # within one range
+    last = placed.filter(F.col("part") == cut).withColumn("kept", F.least("repeats", F.lit(left) - before))
+    whole = placed.filter(F.col("part") < cut).withColumn("kept", F.col("repeats"))
+    return repeated(whole.unionByName(last.filter("kept > 0")), "kept").select(columns)
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says; a great many copies of one are made by several tasks."""
+    few = rows.filter(F.col(times) <= COPIES)
+    lots = F.expr(f"(`{times}` - 1) div {COPIES}")
+    many = rows.filter(F.col(times) > COPIES).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), lots)))
+    share = F.least(F.lit(COPIES), F.col(times) - F.col("lot") * COPIES)
+    spread = many.withColumn(times, share).repartition(F.col("lot")).drop("lot")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times).cast("bigint"))).alias("copy")
+    return few.unionByName(spread).select("*", each).drop("copy")
 
 
 def write_measurements(measured: DataFrame, path: str) -> None:
