@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the stages make of ``documents``."""
+    """The pieces that the stages make of ``documents``; each stage's result is a table that the next one reads.
+
+    Null columns, empty and long texts, ties, repeated rows and further
+    columns are handled as the stages say; an empty table gives no pieces.
+    """
     folder = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     step = lambda docs, stage: folder.save(stage[1](spark, docs, sf_dir), stage[0].replace(" ", "-"))
