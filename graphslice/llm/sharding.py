@@ -1,7 +1,7 @@
 """Histogram sort into shards of equal bytes.
 
 Rows are ordered by a 128-bit key: a hash of the text, so that equal texts are
-neighbours, then a hash of the id. Each round counts the exact bytes below
+neighbours, then a hash of the id and a number among equal rows. Each round counts the exact bytes below
 256 candidate boundaries around every splitter that is not settled, in one
 aggregation that combines before its shuffle; only those counts reach the
 driver. When all splitters meet the tolerance the rows are exchanged once.
@@ -18,21 +18,32 @@ from graphslice.plans.workspace import Workspace
 SHARDS = 24
 TOLERANCE = 0.001  # of a shard's bytes, at each splitter
 SLOT_ROWS = 4096  # mean rows that are numbered together
+COPIES = 1 << 20  # copies of one row that one task makes
 _BITS, _WORD = 8, 64
 _FLIP = -(1 << 63)  # turns signed order into unsigned order
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, text_crc32`` and the key ``k1, k2``; rows without id are told apart by place."""
+    """``doc_id, size, text_crc32`` and the key ``k1, k2``, which no two rows share.
+
+    Equal rows are counted, and their numbers 1, 2, ... are part of the key, so that
+    a great many copies of one row can be cut like any others.
+    """
     text = F.coalesce("text", F.lit(""))
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (byte_count(F.col("text")) + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
-        F.xxhash64("doc_id", place).alias("k2"),
     )
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    last = F.expr(f"(n - 1) div {COPIES}")
+    lots = counted.where(F.col("n") > COPIES).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    few = counted.where(F.col("n") <= COPIES).withColumn("lot", F.lit(0).cast("long"))
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("n") - F.col("lot") * COPIES))
+    each = few.unionByName(lots.repartition("k1", "lot")).select(*rows.columns, "lot", F.explode(copies).alias("copy"))
+    number = F.col("lot") * COPIES + F.col("copy")
+    return each.select(*rows.columns, F.xxhash64("doc_id", number).alias("k2"))
 
 
 def _digit(level: int, bits: int) -> Column:
@@ -132,8 +143,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     bytes of the text (none for null) and 8. Shards have sizes as equal as
     whole rows allow, within the tolerance at each end. Equal texts stay
     together unless a boundary must cut them to meet it; null and empty texts
-    count as equal. Repeated rows, null ids and further columns are fine; an
-    empty table gives no rows. Slots count from 0 without gaps.
+    count as equal. Repeated rows, also with null ids, are cut like others;
+    further columns are ignored; an empty table gives no rows. Slots count
+    from 0 without gaps.
     """
     folder = Workspace(docs.sparkSession, "shards")
     rows = folder.save(keyed(docs), "rows")
