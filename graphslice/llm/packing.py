@@ -38,7 +38,7 @@ _PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes.
+    """Ids as little-endian 32-bit bytes; a special token written out in a text has its own id, as the tokenizer gives it.
 
     ``ranks`` names the same vocabulary as byte strings with their ranks, for
     a faster library. It takes the texts of plain Latin letters, digits,
@@ -51,11 +51,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._fast = _ranked(ranks) if ranks else None
 
     def encode(self, text: str) -> bytes:
-        if self._fast is not None and not _UNUSUAL.search(text):
+        if self._fast is not None and not _UNUSUAL.search(text) and not any(token in text for token in self._special):
             return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
