@@ -85,7 +85,9 @@ def _unique(words: list[str], start: int, end: int) -> dict[str, int]:
 
 
 def telling_places(words: list[str]) -> frozenset[int]:
-    """Where a template names its version or variant; a closing 0 may be left out."""
+    """Where a template names its version or variant; a closing 0 may be left out, but not in an identifier."""
+    if words[:3] == ["spdx", "license", "identifier"]:
+        return frozenset(range(3, len(words)))
     variants = ("lesser", "affero", "sharealike", "noncommercial", "noderivatives")
     places: set[int] = set()
     for i, word in enumerate(words):
@@ -118,15 +120,15 @@ class Template:
     def findings(self, text: list[str]) -> Iterator[tuple[int, int, int]]:
         """First and last word and number of aligned words of each place that covers the template."""
         told = [i for i, w in enumerate(text) if w in self.telling]
-        counts, needed = Counter(self.words), COVERAGE * len(self.words)
+        needed, held = COVERAGE * len(self.words), _Held(text, self.words)
         free = 0  # words before this one belong to an earlier finding
         for j in range(len(told) - self.least + 1):
             if told[j] < free or told[j + self.least - 1] - told[j] >= self.reach:
                 continue
             start = max(free, told[j] - (len(self.words) - self.least))
-            window = text[start : told[j] + self.reach]
-            if sum((Counter(window) & counts).values()) < needed:
+            if held.between(start, told[j] + self.reach) < needed:
                 continue
+            window = text[start : told[j] + self.reach]
             pairs = align(window, self.words)
             if len(pairs) < needed or not self.must <= {b for _, b in pairs}:
                 continue
@@ -136,6 +138,34 @@ class Template:
                 yield first, last, len(pairs)
 
 
+class _Held:
+    """How many of a template's words a window of the text holds, each as often as both do; windows only move on."""
+
+    def __init__(self, text: list[str], template: list[str]):
+        self.text, self.wanted = text, Counter(template)
+        self.counts: Counter[str] = Counter()
+        self.start = self.end = self.found = 0
+
+    def between(self, start: int, end: int) -> int:
+        if start >= self.end:
+            self.counts.clear()
+            self.start = self.end = start
+            self.found = 0
+        while self.end < min(end, len(self.text)):
+            word = self.text[self.end]
+            self.end += 1
+            if word in self.wanted:
+                self.counts[word] += 1
+                self.found += self.counts[word] <= self.wanted[word]
+        while self.start < start:
+            word = self.text[self.start]
+            self.start += 1
+            if word in self.wanted:
+                self.found -= self.counts[word] <= self.wanted[word]
+                self.counts[word] -= 1
+        return self.found
+
+
 class Scanner:
     """Findings of all templates in a text; where two overlap, the one with more aligned words stays."""
 

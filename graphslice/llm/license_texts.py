@@ -23,6 +23,30 @@ provided that the following conditions are met: 1. Redistributions of source cod
 notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
 above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
 materials provided with the distribution.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law.""",
+    "Apache-2.0 text": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS
+FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use,
+reproduction, and distribution as defined by Sections 1 through 9 of this document.""",
+    "MPL-2.0 text": """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or
+legal entity that creates, contributes to the creation of, or owns Covered Software.""",
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0 text": """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation,
+Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not
+allowed.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
 be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
 software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
@@ -77,3 +101,15 @@ for _variant, _kind in (
     ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"),
 ):
     TEMPLATES[f"CC-{_variant}-4.0 notice"] = _NOTICE.replace("Attribution", f"Attribution{_kind}")
+_TEXT = TEMPLATES["GPL-3.0 text"].replace("\n", " ")
+for _name, _kind, _version in (
+    ("GPL-2.0", "", "2, June 1991"), ("LGPL-2.1", "Lesser ", "2.1, February 1999"), ("LGPL-3.0", "Lesser ", "3, 29 June 2007"),
+    ("AGPL-3.0", "Affero ", "3, 19 November 2007"),
+):
+    TEMPLATES[f"{_name} text"] = _TEXT.replace("GNU ", f"GNU {_kind}").replace("3, 29 June 2007", _version)
+for _name in (
+    "MIT", "ISC", "Zlib", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+):
+    TEMPLATES[f"{_name} identifier"] = f"SPDX-License-Identifier: {_name}"
