@@ -82,12 +82,18 @@ def write_graph(graph: PropertyGraph, path: str, by_year: bool = False) -> None:
     writer.mode("overwrite").parquet(f"{path}/edges")
 
 
-def read_graph(spark: SparkSession, path: str, max_edges: int = 0) -> PropertyGraph:
+def read_graph(spark: SparkSession, path: str, max_edges: int = 0, check_labels: bool = False) -> PropertyGraph:
     """The graph stored at ``path``; missing measures read as 0.
 
     ``max_edges`` keeps that many edges, the first in order of their columns.
+    With ``check_labels`` only edges from a stored user to a stored product
+    are read; graphs that this library stored have no others.
     """
     edges, vertices = zero_missing(spark.read.parquet(f"{path}/edges")), spark.read.parquet(f"{path}/vertices")
+    if check_labels:
+        for end, label in (("src", measures.USER_LABEL), ("dst", measures.PRODUCT_LABEL)):
+            labelled = vertices.filter(F.col("label") == label).select(F.col("id").alias(end))
+            edges = edges.join(labelled, end, "left_semi").select(edges.columns)
     if max_edges > 0:
         edges = cap_edges(edges, max_edges)
         kept = vertices.join(endpoints(edges), "id", "left_semi")

@@ -270,3 +270,11 @@ def test_demo_runs_every_evaluation(hand):
     assert len(batch.DEMO) == 18 and {q for q, _ in results} == set(batch.QUERIES)
     ranks = results["pageRankAggregation", "by_label"]
     assert {r["slice"] for r in ranks.select("slice").distinct().collect()} == {"dense", "rating", "apex"}
+
+
+def test_only_edges_from_users_to_products_are_read_back(spark, graph_of, tmp_path, rows):
+    edges = [("u_1", "p_1"), ("u_1", "p_1"), ("u_2", "p_2"), ("p_1", "u_1"), ("u_1", "u_2"), ("p_2", "p_1")]
+    tables.write_graph(graph_of(edges), str(tmp_path))
+    read = tables.read_graph(spark, str(tmp_path), check_labels=True)
+    assert rows(read.edges, "src", "dst") == [("u_1", "p_1"), ("u_1", "p_1"), ("u_2", "p_2")]
+    assert tables.read_graph(spark, str(tmp_path)).edges.count() == 6
