@@ -8,13 +8,13 @@ and every document with at least the threshold stays: there is no sampling.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphslice.llm.text import let, words
+from graphslice.llm.text import let, unused, words
+from graphslice.plans.workspace import Workspace
 
 BUCKETS = 1 << 16
 #: Nats per n-gram. A document of symbols, shouting or tables scores below -1,
@@ -44,15 +44,18 @@ def symbols_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LogRatio:
-    """Log ratio of each bucket."""
+    """Log ratio of each bucket: a table of one row with one array, which a query reads when it runs."""
 
-    ratios: tuple[float, ...]
+    table: DataFrame
+    buckets: int
 
-    def score(self, hashes: Column, pairs: Column, symbols: Column) -> Column:
+    def ratios(self) -> Column:
+        """The array; as a column of its own, since a subquery cannot stand inside a lambda function."""
+        return self.table.scalar()
+
+    def score(self, ratios: Column, hashes: Column, pairs: Column, symbols: Column) -> Column:
         """Mean log ratio of words, pairs of words and runs of marks, given their hashes; 0 without any."""
-        size = len(self.ratios)
-        table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
-        of = lambda h: F.element_at(table, (F.pmod(h, F.lit(size)) + 1).cast("int"))
+        of = lambda h: F.element_at(ratios, (F.pmod(h, F.lit(self.buckets)) + 1).cast("int"))
         total = lambda found: F.aggregate(found, F.lit(0.0), lambda t, h: t + of(h))
         n = F.size(hashes) + F.size(pairs) + F.size(symbols)
         return F.when(n == 0, 0.0).otherwise((total(hashes) + total(pairs) + total(symbols)) / n)
@@ -61,9 +64,10 @@ class LogRatio:
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> LogRatio:
     """Counts over every document of ``docs`` (``doc_id, text``); ``trusted`` has the ``doc_id`` of the target's.
 
-    The driver gets one row per bucket. The target is smoothed towards the
-    corpus, with the weight of one n-gram per bucket, so that few trusted
-    documents tell little. Without any, all ratios are 0.
+    The target is smoothed towards the corpus, with the weight of one n-gram
+    per bucket, so that few trusted documents tell little: no ratio is below
+    ``-log(1 + trusted n-grams / buckets)``. Without any, all ratios are 0.
+    Buckets without an n-gram have 0. The model is a table of one row.
     """
     ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1))
     if ids.count() <= BROADCAST_ROWS:
@@ -72,19 +76,20 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> LogRatio
     text = F.coalesce("text", F.lit(""))
     grams = let(hashes_of(words(text)), lambda h: F.concat(h, pairs_of(h), symbols_of(text)))
     each = marked.select(F.explode(grams).alias("gram"), "target")
-    counts = each.groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect()
-    raw, target = {r["bucket"]: r["raw"] for r in counts}, {r["bucket"]: r["target"] for r in counts}
-    all_raw, all_target = sum(raw.values()), sum(target.values())
-    if not all_target:
-        return LogRatio((0.0,) * buckets)
-
-    def ratio(b: int) -> float:
-        if b not in raw:
-            return 0.0
-        share = raw[b] / all_raw
-        return math.log((target[b] + buckets * share) / (all_target + buckets)) - math.log(share)
-
-    return LogRatio(tuple(ratio(b) for b in range(buckets)))
+    counts = each.groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")
+    )
+    folder = Workspace(docs.sparkSession, "log-ratio")
+    seen = folder.write(counts, "counts", F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    all_raw, all_target = float(seen["all_raw"]), float(seen["all_target"])
+    share = F.col("raw") / F.lit(all_raw or 1.0)
+    smoothed = (F.col("target") + F.lit(float(buckets)) * share) / F.lit(all_target + buckets)
+    ratio = F.log(smoothed) - F.log(share) if all_target else F.lit(0.0)
+    found = folder.read("counts", schema=counts.schema).select("bucket", ratio.alias("ratio"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(found, "bucket", "left")
+    # One row of as many numbers as there are buckets, however large the corpus.
+    listed = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))))
+    return LogRatio(folder.save(every.agg(listed["ratio"].alias("ratios")), "ratios"), buckets)
 
 
 def repeated_words(pairs: Column) -> Column:
@@ -124,21 +129,23 @@ def judge(docs: DataFrame, model: LogRatio, threshold: float = THRESHOLD) -> Dat
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     repeated = let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s)))
 
-    def counts(tokens: Column) -> Column:
+    def counts(tokens: Column, ratios: Column) -> Column:
         def hashed(h: Column, p: Column) -> Column:
             return F.struct(
                 F.size(h).cast("long").alias("n_words"),
                 F.length(F.array_join(tokens, "")).cast("long").alias("word_chars"),
                 repeated_words(p).alias("n_repeat_words"),
-                let(symbols_of(text), lambda s: model.score(h, p, s)).alias("score"),
+                let(symbols_of(text), lambda s: model.score(ratios, h, p, s)).alias("score"),
             )
 
         return let(hashes_of(tokens), lambda h: let(pairs_of(h), lambda p: hashed(h, p)))
 
     others = [name for name in docs.columns if name != "text"]
-    counted = docs.select(
+    name = unused("_ratios", docs)
+    # The column is named once below, so Spark puts the array in its place and no row carries it.
+    counted = docs.withColumn(name, model.ratios()).select(
         *others,
-        let(words(text), counts).alias("_words"),
+        let(F.col(name), lambda ratios: let(words(text), lambda tokens: counts(tokens, ratios))).alias("_words"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         repeated.cast("long").alias("n_dup_lines"),
     )

@@ -32,6 +32,8 @@ _ANY = r"((?:(?![&,;][\"']?[A-Za-z_][A-Za-z0-9_.\-]*[\"']?[=:])[^\"'])+)"
 _ANY_ASSIGNED = (
     r"((?i:[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|auth|cred)[A-Za-z0-9_.\-]*))[\"'\\]*(?:=>|:=|[=:])[\"']?" + _ANY
 )
+#: A name of words, all small or with a capital first, that may end in a few digits.
+_PATH_PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_.\-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[0-9]{0,4}"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "hex", "digit_letter", "lower_upper", "vowel_consonant",
     "covered", "slashes", "dots", "ats", "assigned", "secret_name", "quoted", "known_before", "known_after",
@@ -106,23 +108,25 @@ def _parts(word: Column, earlier: Column) -> Column:
     return F.array_distinct(F.concat(runs, F.filter(trimmed, signed)))
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent words of three or more letters in the whole corpus; ties by word."""
+def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> DataFrame:
+    """One row, ``words``: the most frequent words of three or more letters in the whole corpus; ties by word."""
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     counts = docs.select(tokens.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [row["word"] for row in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    most = counts.orderBy(F.desc("n"), "word").limit(size)
+    return Workspace(docs.sparkSession, "lexicon").save(most.agg(F.collect_list("word").alias("words")), "words")
 
 
-def featured(found: DataFrame, known: list[str]) -> DataFrame:
-    """Candidates with the columns of :data:`FEATURES`, all double."""
+def featured(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates with the columns of :data:`FEATURES`, all double; ``known`` is a :func:`dictionary`."""
     value, size = F.col("value"), F.length("value")
-    lexicon = F.split(F.lit(" ".join(known)), " ")
-    in_lexicon = lambda word: F.coalesce(F.array_contains(lexicon, F.regexp_replace(word, r"[^\p{L}]+$", "")), F.lit(False))
+    in_lexicon = lambda word: F.coalesce(F.array_contains(known.scalar(), F.regexp_replace(word, r"[^\p{L}]+$", "")), F.lit(False))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     runs = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), F.lit(0))
-    covered = F.aggregate(
+    in_words = lambda lexicon: F.aggregate(
         runs, F.lit(0), lambda n, run: n + F.when(F.array_contains(lexicon, run), F.length(run)).otherwise(0)
     )
+    # A subquery cannot stand inside a lambda function; as the column is named once, no row carries it.
+    covered = let(F.col("_lexicon"), in_words)
     made = {
         "length": size,
         "digits": share("[0-9]"),
@@ -142,21 +146,27 @@ def featured(found: DataFrame, known: list[str]) -> DataFrame:
         "known_before": in_lexicon(F.col("before")),
         "known_after": in_lexicon(F.col("after")),
     }
-    return found.select(*found.columns, *(made[name].cast("double").alias(f"f_{name}") for name in FEATURES))
+    columns = [made[name].cast("double").alias(f"f_{name}") for name in FEATURES]
+    return found.withColumn("_lexicon", known.scalar()).select(*found.columns, *columns)
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """Findings whose shape alone decides, with ``label``: 1 for keys of a known make and random values
-    assigned to a name of secrets; 0 for numbers, addresses, names of hosts and files, and dictionary words."""
+    assigned to a name of secrets; 0 for numbers, addresses, names of hosts, files and folders, and dictionary
+    words. What only looks a little like those, as a key with slashes or dots does, has no label."""
     value, name = F.col("value"), F.coalesce("name", F.lit(""))
-    made = value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$") | value.rlike("^(gh[pousr]_|sk_live_|xox[abpr]-)[A-Za-z0-9\\-]{10,}$")
+    made = (
+        value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$")
+        | value.rlike("^(gh[pousr]_|sk_live_|xox[abpr]-)[A-Za-z0-9\\-]{10,}$")
+        | value.rlike(r"^eyJ[A-Za-z0-9_\-]{5,}\.eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{10,}$")
+    )
     random = name.rlike(_SECRET_NAME) & value.rlike("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_\\-]{16,}=*$")
     plain = (
         value.rlike(r"^[0-9+.\-]+$")
         | value.rlike(r"^[^@]+@[^@]+\.[A-Za-z]+$")
-        | value.rlike(r"^[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+$")
+        | value.rlike(r"^[A-Za-z0-9\-]{1,40}(\.[A-Za-z0-9\-]{1,40})*\.[A-Za-z]{2,12}$")
         | value.rlike(r"^[A-Za-z]{4,}[0-9]{1,4}$")
-        | value.rlike(r"^/?([A-Za-z0-9_.\-]+/)+")
+        | value.rlike(f"^/?({_PATH_PART}/)+({_PATH_PART})?$")
     )
     label = F.when(made | random, 1.0).when(plain & ~name.rlike(_SECRET_NAME), 0.0)
     return found.withColumn("label", label).where("label IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -28,3 +28,11 @@ def byte_count(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(name: str, table: DataFrame) -> str:
+    """``name``, made longer until no column of ``table`` has it."""
+    taken = {column.lower() for column in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
