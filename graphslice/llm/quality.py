@@ -149,7 +149,9 @@ def judge(docs: DataFrame, model: LogRatio, threshold: float = THRESHOLD) -> Dat
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         repeated.cast("long").alias("n_dup_lines"),
     )
-    plain = counted.select(*others, "_words.*", "n_symbols", "n_dup_lines")
+    # Filters on a generated column stay above it, so the counts are made once for all that is asked of them.
+    once = counted.select(*others, F.explode(F.array("_words")).alias("_words"), "n_symbols", "n_dup_lines")
+    plain = once.select(*others, "_words.*", "n_symbols", "n_dup_lines")
     short = F.col("n_words") < FEWEST_WORDS
     repetitive = 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     failed = plain.withColumn("base_failed", short | repetitive)
