@@ -13,9 +13,11 @@ agree at a slot with the Jaccard similarity of their sets. For other texts the
 two signatures are equal.
 
 Slots are hashed in bands. Texts that share a band are compared with one text
-of the band, another in each round, and after some rounds with every text of
-the band that is not linked to them yet. A link is an exact Jaccard
-similarity of the shingle sets of 0.8 or more.
+of the band, another in each round. What bands still hold apart after some
+rounds goes through an exact join on the rarest shingles: two sets that are
+alike enough share one among the first few of each, counted from the rarest
+in a common order. A link is an exact Jaccard similarity of the shingle sets
+of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphslice.llm.text import let, words
+from graphslice.plans import skew
 from graphslice.plans.shipping import ship_package
 from graphslice.plans.workspace import Workspace, union_all
 
@@ -36,6 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6  # at similarity 0.8 a pair shares no band once in 440
 HUB_ROUNDS = 3
 BROADCAST_ROWS = 1 << 20
+WORK = 1 << 26  # pairs of one shingle that a task looks at
 CHUNK, TEXT_COST = 1 << 17, 1 << 10  # words that a task hashes at once, and what a text adds for its arrivals
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -243,7 +247,7 @@ class Duplicates:
             members = self.bands.join(labels, "node", "left").select(
                 "band", "node", F.coalesce("label", "node").alias("label")
             )
-            pairs = self._with_hubs(members, number) if number < HUB_ROUNDS else self._all_unlinked(members)
+            pairs = self._with_hubs(members, number) if number < HUB_ROUNDS else self._apart(members, sets)
             new = pairs.distinct().join(compared, ["a", "b"], "left_anti")
             count = self.folder.write(new, f"pairs-{number}")["rows"]
             if not count and number == HUB_ROUNDS:
@@ -264,13 +268,49 @@ class Duplicates:
         apart = members.join(hubs, "band").where("label != hub.label")
         return apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-    def _all_unlinked(self, members: DataFrame) -> DataFrame:
-        """All pairs of a band with different labels; after the rounds few bands have two."""
+    def _apart(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """All pairs with different labels, among the texts of bands with two labels, that can be alike enough.
+
+        Shingles are ordered by how many of these texts hold them, and those
+        that only one holds are counted but not compared. If two sets have the
+        similarity t or more, the place of their first common shingle leaves
+        enough behind it in both: at most ``n - ceil(2t / (1 + t) n) + 1`` in
+        the smaller set, ``m - ceil(t m) + 1`` in the larger. So boilerplate
+        that many texts share meets none of those that differ beyond it.
+        """
         mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        left = members.join(mixed.where("low < high").select("band"), "band")
-        right = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-        apart = left.join(right, "band").where("node < other AND label != other_label")
-        return apart.select(F.col("node").alias("a"), F.col("other").alias("b"))
+        nodes = members.join(mixed.where("low < high").select("band"), "band").select("node", "label").distinct()
+        nodes = self.folder.save(nodes, "apart")
+        each = sets.join(nodes, "node").select("node", "label", "size", F.explode("shingles").alias("shingle"))
+        held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = self.folder.save(held, "held")
+        found = F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("found")
+        lists = each.join(held, "shingle").groupBy("node").agg(F.first("label").alias("label"), F.first("size").alias("size"), found)
+        t, least = self.similarity, lambda x: F.ceil(x - F.lit(1e-9))
+        alone = F.col("size") - F.size("found")
+        first = F.slice("found", 1, F.greatest(F.col("size") - least(F.col("size") * t) + 1 - alone, F.lit(0)).cast("int"))
+        places = lists.select("node", "label", "size", alone.alias("alone"), F.posexplode(first).alias("i", "x"))
+        rows = places.select("node", "label", "size", F.col("x.shingle").alias("shingle"), (F.col("alone") + F.col("i") + 1).alias("place"))
+        count = self.folder.write(rows, "firsts")["rows"]
+        rows = self.folder.read("firsts", schema=rows.schema)
+        short = F.col("place") <= F.col("size") - least(F.col("size") * (2 * t / (1 + t))) + 1
+        smaller = rows.where(short).select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "place")))
+        larger = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "place")))
+        rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+        total = F.col("size_a") + F.col("size_b")
+        wanted = (
+            (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
+            & (F.col("label_a") != F.col("label_b"))
+            & (F.col("size_a") >= F.col("size_b") * t - 1e-9)
+            & (rest + 1 >= least(total * (t / (1 + t))))
+        )
+        # A shingle's work is the product of its rows on both sides; the limit keeps the list of busy ones short.
+        limit = max(WORK, (count // skew.BROADCAST_ROWS) ** 2)
+        work = rows.groupBy("shingle").agg((F.count(F.lit(1)) * F.count_if(short)).alias("n"))
+        busy = self.folder.write(skew.hot_keys(work, "shingle", "n", limit), "busy")["rows"]
+        hot = self.folder.read("busy") if busy else None
+        met = skew.salted_join(larger, smaller, "shingle", F.col("node_b"), hot).where(wanted)
+        return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose exact similarity reaches the threshold; sizes decide first what they can."""
