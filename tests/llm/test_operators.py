@@ -401,9 +401,8 @@ def test_blocks_are_skipped_without_loss(monkeypatch):
     draw = np.random.default_rng(5)
     common = np.arange(1, 200) ** -0.9
     lists = [draw.choice(199, draw.integers(20, 120), p=common / common.sum()) for _ in range(1500)]
-    made = topk.postings([x.astype(np.int64) for x in lists])
     mean = float(np.mean([len(x) for x in lists]))
-    index = topk.Index(made, mean, np.arange(1500))
+    index = topk.Index([x.astype(np.int64) for x in lists], mean, list(range(1500)))
     weights_of = np.log(1 + 1500 / (1 + np.bincount(np.concatenate(lists), minlength=199)))
     for _ in range(40):
         wanted = np.unique(draw.choice(199, 25))
