@@ -146,3 +146,18 @@ def test_nested_blocks_share_until_the_last_ends(spark, graph_of):
         second.drop()
         assert second.pairs.count() == first.pair_count
     assert views.Undirected(cut, workspace.Workspace(spark, "three")).owner
+
+
+@pytest.mark.parametrize("hot", ["4000000", "60", "3"])
+def test_far_sets_are_united_by_block(graph_of, spark, monkeypatch, rows, hot):
+    """Three hops and more list no pairs; blocks of several words and parts, vertices across the parts of a task."""
+    monkeypatch.setattr(neighborhood, "BLOCK", 2)
+    monkeypatch.setattr(neighborhood, "AT_ONCE", 7)
+    monkeypatch.setattr(neighborhood, "_unpack", None)
+    spark.conf.set("spark.graphslice.hotRows", hot)
+    try:
+        edges = random_edges(7, [f"u_{i}" for i in range(300)], 420) + [("u_1", "u_1", 1.0, 0.5, 0)]
+        for hops in (3, 4):
+            assert dict(rows(neighborhood.khop_degree(graph_of(edges), hops))) == brute.khop_degrees(edges, hops)
+    finally:
+        spark.conf.unset("spark.graphslice.hotRows")
