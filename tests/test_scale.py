@@ -161,3 +161,31 @@ def test_far_sets_are_united_by_block(graph_of, spark, monkeypatch, rows, hot):
             assert dict(rows(neighborhood.khop_degree(graph_of(edges), hops))) == brute.khop_degrees(edges, hops)
     finally:
         spark.conf.unset("spark.graphslice.hotRows")
+
+
+def test_ranks_that_cannot_change_are_not_computed_again(spark, graph_of, monkeypatch):
+    """Users give to products, products to nobody: two rounds settle all; a cycle goes on."""
+    written, write = [], workspace.Workspace.write
+
+    def watched(self, df, name, *metrics):
+        written.append(name)
+        return write(self, df, name, *metrics)
+
+    monkeypatch.setattr(workspace.Workspace, "write", watched)
+    rng = random.Random(8)
+    reviews = [(f"u_{rng.randint(0, 9)}", f"p_{rng.randint(0, 9)}", 1.0, 0.5, 0) for _ in range(60)]
+    for edges, last in ((reviews, 2), (reviews + [("p_1", "u_1", 1.0, 0.5, 0)], 6)):
+        written.clear()
+        got = {r.id: r.pagerank for r in centrality.page_rank(graph_of(edges), 6).collect()}
+        assert max(int(name[5:]) for name in written if name.startswith("rank-")) == last
+        ends = {end for edge in edges for end in edge[:2]}
+        rank, given = dict.fromkeys(ends, 1.0), {}
+        for edge in edges:
+            given[edge[0]] = given.get(edge[0], 0) + 1
+        for _ in range(6):
+            income = dict.fromkeys(ends, 0.0)
+            for edge in edges:
+                income[edge[1]] += rank[edge[0]] / given[edge[0]]
+            rank = {end: 0.15 + 0.85 * income[end] for end in ends}
+        scale = len(rank) / sum(rank.values())
+        assert got == pytest.approx({end: r * scale for end, r in rank.items()}, rel=1e-12)
