@@ -26,6 +26,9 @@ DEFAULT_HOT_ROWS = 4_000_000
 # is kept low: it spares small tables hundreds of near-empty tasks per round.
 SMALL_ROWS = 10_000
 
+# Neighbour lists come in pieces of about this many vertices.
+PIECE = 1024
+
 # No table of hot keys, hubs or landmarks longer than this is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -123,14 +126,17 @@ class Adjacency:
         self.keys = ["src"] if hot is None else ["src", "salt"]
         n = partitions_for(rows.sparkSession, total)
         self.rows = (
-            spread(rows, "src", F.col("dst"), hot)
-            .repartition(n, *self.keys)
+            self._gathered(spread(rows, "src", self._apart(), hot).repartition(n, *self.keys))
             .sortWithinPartitions(*self.keys)
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
-    def degree(self) -> DataFrame:
-        return self.rows.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    def _apart(self) -> Column:
+        """What the rows of a hot source are spread by."""
+        return F.col("dst")
+
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        return rows
 
     def expand(self, df: DataFrame, key: str = "id") -> DataFrame:
         """Each row of ``df`` with every neighbour of its ``key`` as ``dst``."""
@@ -145,3 +151,22 @@ class Adjacency:
 
     def __exit__(self, *_: object) -> None:
         self.release()
+
+
+class Lists(Adjacency):
+    """Neighbours (``src, dst, degree`` of ``src``) laid out as lists: a row for each ``PIECE`` of a vertex's neighbours or so.
+
+    A join looks at one row a vertex instead of one a neighbour, and only the
+    lists that it meets are taken apart.
+    """
+
+    def _apart(self) -> Column:
+        return F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(PIECE)))
+
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        # Rows of one list lie in one partition already.
+        return rows.groupBy(*self.keys, self._apart().alias("piece")).agg(F.collect_list("dst").alias("dsts"))
+
+    def expand(self, df: DataFrame, key: str = "id") -> DataFrame:
+        met = super().expand(df, key)
+        return met.select(*df.columns, F.explode("dsts").alias("dst"))

@@ -78,6 +78,28 @@ def test_core_numbers(graph_of, rows, monkeypatch):
     assert changed[-1] == 0 and all(changed[:-1])
 
 
+def test_late_rounds_of_cores_ask_where_a_value_falls(graph_of, all_hot, rows, monkeypatch):
+    """Not around every change; lists come in several pieces, and almost every vertex is hot."""
+    monkeypatch.setattr(centrality, "FEW", 1)
+    monkeypatch.setattr(skew, "PIECE", 2)
+    asked, lowered = [], centrality._lowered
+
+    def spied(values, counted):
+        asked.append(counted.select("id").distinct().count())
+        return lowered(values, counted)
+
+    monkeypatch.setattr(centrality, "_lowered", spied)
+    pairs = [(i, j) for i in range(6) for j in range(i)] + [(i, i + 1) for i in range(5, 11)] + [(1, 1)]
+    edges = [(f"u_{a}", f"u_{b}", 1.0, 0.5, 0) for a, b in pairs]  # a clique with a tail, which falls from its end
+    found = centrality.k_cores(graph_of(edges), 4)
+    changed = [r.changed for r in found.rounds.orderBy("round").collect()]
+    assert len(changed) > 2 and asked[1:] == changed[1:-1]
+    for k, vertices, ends in rows(found.profile, "k", "core_vertices", "core_edges"):
+        alive = brute.core(edges, k)
+        assert (vertices, ends) == (len(alive), sum(map(len, alive.values())) // 2)
+    assert dict(rows(found.members)) == {v: len(n) for v, n in brute.core(edges, 4).items()}
+
+
 @pytest.mark.parametrize("n", [1, 7, 100, 250, 301])
 def test_the_first_edges_in_order(spark, monkeypatch, n):
     monkeypatch.setattr(tables, "SHORT_LIST", 5)
