@@ -221,3 +221,31 @@ def test_slices_read_reviews_that_are_written_once(graph_of):
     assert sorted(cuts["apex"].edges.collect()) == sorted(graph.edges.collect())
     for cut in cuts.values():
         assert any("/reviews/" in name for name in cut.edges.inputFiles())
+
+
+def test_a_small_network_is_sent_to_the_pairs(graph_of, all_hot, spark, monkeypatch, rows):
+    """Pairs stay where they are, those of hot vertices too, unless the members are too many to send."""
+    edges = random_edges(8, [f"u_{i}" for i in range(30)], 120)
+    adj = brute.neighbours(edges)
+    scored = {v: {(w, e[2]) for e in edges for w in (e[:2] if v in e[:2] else ()) if w != v or e[0] == e[1]} for v in adj}
+    around = {hub: adj[hub] | {hub} for hub in brute.top(scored, 2)}
+    want = {(h, min(a, b), max(a, b), s) for a, b, s, *_ in edges for h, near in around.items() if {a, b} <= near}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neighborhood.EgoNetworks(graph_of(edges), 2).internal_pairs()
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(want) == rows(found, "ego", "a", "b", "score")
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+        assert sorted(want) == rows(neighborhood.EgoNetworks(graph_of(edges), 2).internal_pairs(), "ego", "a", "b", "score")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_degrees_are_counted_once(graph_of, all_hot, spark):
+    edges = random_edges(3, [f"u_{i}" for i in range(20)], 60)
+    view = views.Undirected(graph_of(edges), workspace.Workspace(spark, "test"))
+    want = {v: len(near) for v, near in brute.neighbours(edges).items()}
+    assert all("/degrees/" in file for file in view.degree().inputFiles())
+    assert dict(map(tuple, view.degree().collect())) == want
+    fans = {v: -(-n // 3) for v, n in want.items() if n > 3}
+    assert dict(map(tuple, view.hot.collect())) == fans
