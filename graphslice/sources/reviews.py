@@ -23,8 +23,6 @@ KEYS = {
     "score": "review/score",
     "time": "review/time",
 }
-# A line of nothing but blanks ends a record.
-BLANK_LINE = r"^[\t\x0b\x0c \x1c-\x1f\x85\xa0]*$"
 
 _PIECES = ", ".join(["file string, start long, number long, whole boolean", *(f"`{name}` string" for name in KEYS)])
 
@@ -109,15 +107,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         text.alias("text"),
     )
     names = F.array(*(F.lit(key) for key in KEYS.values()))
-    key = F.array_position(names, measures.strip(F.substring_index("text", ":", 1))) - 1
-    blank = F.col("text").rlike(BLANK_LINE)
-    read = lines.select(
-        "file",
-        "start",
-        F.xxhash64("file", "start").alias("split"),
-        F.when(blank, -1).when(F.contains("text", F.lit(":")) & (key >= 0), key).cast("int").alias("key"),
-        F.when(~blank, measures.strip(F.substr("text", F.instr("text", ":") + 1))).alias("value"),
-    ).filter("key IS NOT NULL")
+    key = F.array_position(names, measures.strip(F.substring_index("text", ":", 1)))
+    colon = F.contains("text", F.lit(":"))  # a line with one is not blank
+    blank = measures.strip(F.col("text")) == ""
+    place = F.when(colon, key).when(blank, -1).cast("int").alias("key")
+    value = measures.strip(F.substr("text", F.instr("text", ":") + 1)).alias("value")
+    # As the one element of an array a line is looked at once; a filter on ``key`` alone would do the work again.
+    looked = lines.select("file", "start", F.xxhash64("file", "start").alias("split"), F.inline(F.array(F.struct(place, value))))
+    number = F.greatest(F.col("key") - 1, F.lit(-1)).alias("key")
+    read = looked.filter("key <> 0").select("file", "start", "split", number, "value")
     pieces = workspace.save(read.mapInArrow(_assembled, _PIECES), "pieces")
 
     place = F.struct("file", "start", "number").alias("ord")

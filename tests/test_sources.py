@@ -10,6 +10,7 @@ import pytest
 from graphslice.functions import measures
 from graphslice.operators import dice
 from graphslice.plans import batch
+from graphslice.plans.workspace import Workspace
 from graphslice.sources import reviews, tables
 from pyspark.sql import functions as F
 
@@ -278,3 +279,19 @@ def test_only_edges_from_users_to_products_are_read_back(spark, graph_of, tmp_pa
     read = tables.read_graph(spark, str(tmp_path), check_labels=True)
     assert rows(read.edges, "src", "dst") == [("u_1", "p_1"), ("u_1", "p_1"), ("u_2", "p_2")]
     assert tables.read_graph(spark, str(tmp_path)).edges.count() == 6
+
+
+def test_a_raw_line_is_looked_at_once(spark, tmp_path, monkeypatch):
+    """Spark would do the work of the key again to filter by it."""
+    plans, save = [], Workspace.save
+
+    def spied(self, df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Workspace, "save", spied)
+    text = " \x1c\nproduct/productId: 7\n review/userId : a:b \nreview/score\n:x\n\xa0\x85\n review/userId:\n"
+    (tmp_path / "reviews").write_bytes(text.encode("ISO-8859-1"))
+    found = reviews.read_records(spark, str(tmp_path / "reviews")).orderBy("ord").select("product", "user", "score").collect()
+    assert [tuple(r) for r in found] == [("7", "a:b", None), (None, "", None)]
+    assert plans[0].count("array_position") == 1
