@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,24 @@ def test_degrees_are_counted_once(graph_of, all_hot, spark):
     assert dict(map(tuple, view.degree().collect())) == want
     fans = {v: -(-n // 3) for v, n in want.items() if n > 3}
     assert dict(map(tuple, view.hot.collect())) == fans
+
+
+@pytest.mark.parametrize("near", [40, 4000])
+def test_sets_of_two_hops_are_counted_where_they_are_united(near):
+    """Dense and sparse lists are united to the same sets, and where only their size is wanted, that alone leaves the task."""
+    rng = np.random.default_rng(near)
+    heard = [sorted(set(rng.integers(0, 9, 4).tolist())) for _ in range(30)]
+    lists = [sorted(set(rng.integers(0, near, 25).tolist())) for _ in range(30)]
+    table = pa.table({"origins": pa.array(heard, pa.list_(pa.int64())), "dsts": pa.array(lists, pa.list_(pa.int64()))})
+    want = {o: {v for who, ws in zip(heard, lists, strict=True) if o in who for v in ws} for o in range(9)}
+    whole, counted = (neighborhood._unite(table, keep=keep).to_pylist() for keep in (True, False))
+    for row, alone in zip(whole, counted, strict=True):
+        bits = {w * 64 + i for w, m in zip(row["words"], row["masks"], strict=True) for i in range(64) if m >> i & 1}
+        assert bits == want[row["origin"]] and row["others"] == len(bits - {row["origin"]})
+        assert alone == {"origin": row["origin"], "others": row["others"], "words": [], "masks": []}
+
+
+def test_two_hop_degrees_bring_no_sets(graph_of):
+    graph = neighborhood._Numbered(graph_of(random_edges(4, [f"u_{i}" for i in range(40)], 90)))
+    assert neighborhood._within(graph, 2, keep=False).sets.filter("size(words) > 0").count() == 0
+    assert neighborhood._within(graph, 2).sets.filter("size(words) > 0").count() > 0
