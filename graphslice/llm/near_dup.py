@@ -16,13 +16,15 @@ Slots are hashed in bands. Texts that share a band are compared with one text
 of the band, another in each round. What bands still hold apart after some
 rounds goes through an exact join on the rarest shingles: two sets that are
 alike enough share one among the first few of each, counted from the rarest
-in a common order. A link is an exact Jaccard similarity of the shingle sets
-of 0.8 or more.
+in a common order, and the bits of their shingles show no more differences
+than such sets can have. A link is an exact Jaccard similarity of the shingle
+sets of 0.8 or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ BANDS, ROWS = 20, 6  # at similarity 0.8 a pair shares no band once in 440
 HUB_ROUNDS = 3
 BROADCAST_ROWS = 1 << 20
 WORK = 1 << 26  # pairs of one shingle that a task looks at
+PARITY_WORDS = 16  # 64 bits each; a bit is set if an odd number of a set's shingles fall on it
 CHUNK, TEXT_COST = 1 << 17, 1 << 10  # words that a task hashes at once, and what a text adds for its arrivals
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -193,6 +196,33 @@ def _sets_of(lists: list[np.ndarray]) -> list[np.ndarray]:
     return [np.unique(found).view(np.int64) for found in lists]
 
 
+def with_parities(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``parities``: on each of 1,024 bits, whether an odd number of the shingles fall on it.
+
+    A shingle that two sets share changes the same bit in both. So the bits
+    that differ are no more than the shingles that only one of them has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            places = lists.values.to_numpy(zero_copy_only=False) & (64 * PARITY_WORDS - 1)
+            found = []
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                odd = np.bincount(places[start:end], minlength=64 * PARITY_WORDS) & 1
+                found.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(found)], [*batch.schema.names, "parities"])
+
+    return sets.mapInArrow(run, T.StructType([*sets.schema.fields]).add("parities", T.ArrayType(T.LongType())))
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """How many bits of two parities differ."""
+    each = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_WORDS)]
+    return reduce(lambda x, y: x + y, each)
+
+
 def print_of(tokens: Column) -> Column:
     """Equal for texts with the same words."""
     return F.md5(F.array_join(tokens, " "))
@@ -276,11 +306,15 @@ class Duplicates:
         similarity t or more, the place of their first common shingle leaves
         enough behind it in both: at most ``n - ceil(2t / (1 + t) n) + 1`` in
         the smaller set, ``m - ceil(t m) + 1`` in the larger. So boilerplate
-        that many texts share meets none of those that differ beyond it.
+        that many texts share meets none of those that differ beyond it. Texts
+        that are all alike at somewhat less than t share rare shingles with
+        many others; of these pairs the parities rule out most before they are
+        listed, and none that has the similarity t.
         """
         mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         nodes = members.join(mixed.where("low < high").select("band"), "band").select("node", "label").distinct()
         nodes = self.folder.save(nodes, "apart")
+        marked = self.folder.save(with_parities(sets.join(nodes.select("node"), "node")).select("node", "parities"), "parities")
         each = sets.join(nodes, "node").select("node", "label", "size", F.explode("shingles").alias("shingle"))
         held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         held = self.folder.save(held, "held")
@@ -289,20 +323,23 @@ class Duplicates:
         t, least = self.similarity, lambda x: F.ceil(x - F.lit(1e-9))
         alone = F.col("size") - F.size("found")
         first = F.slice("found", 1, F.greatest(F.col("size") - least(F.col("size") * t) + 1 - alone, F.lit(0)).cast("int"))
-        places = lists.select("node", "label", "size", alone.alias("alone"), F.posexplode(first).alias("i", "x"))
-        rows = places.select("node", "label", "size", F.col("x.shingle").alias("shingle"), (F.col("alone") + F.col("i") + 1).alias("place"))
+        known = ("node", "label", "size", "parities")
+        places = lists.join(marked, "node").select(*known, alone.alias("alone"), F.posexplode(first).alias("i", "x"))
+        rows = places.select(*known, F.col("x.shingle").alias("shingle"), (F.col("alone") + F.col("i") + 1).alias("place"))
         count = self.folder.write(rows, "firsts")["rows"]
         rows = self.folder.read("firsts", schema=rows.schema)
         short = F.col("place") <= F.col("size") - least(F.col("size") * (2 * t / (1 + t))) + 1
-        smaller = rows.where(short).select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "place")))
-        larger = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "place")))
+        smaller = rows.where(short).select("shingle", *(F.col(c).alias(f"{c}_a") for c in (*known, "place")))
+        larger = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in (*known, "place")))
         rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
         total = F.col("size_a") + F.col("size_b")
+        common = least(total * (t / (1 + t)))
         wanted = (
             (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
             & (F.col("label_a") != F.col("label_b"))
             & (F.col("size_a") >= F.col("size_b") * t - 1e-9)
-            & (rest + 1 >= least(total * (t / (1 + t))))
+            & (rest + 1 >= common)
+            & (total - _bits_apart(F.col("parities_a"), F.col("parities_b")) >= 2 * common)
         )
         # A shingle's work is the product of its rows on both sides; the limit keeps the list of busy ones short.
         limit = max(WORK, (count // skew.BROADCAST_ROWS) ** 2)

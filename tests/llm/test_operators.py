@@ -249,6 +249,33 @@ def test_many_texts_of_one_boilerplate(docs_of):
     assert listed[-1] < 4 * len(rows)
 
 
+def test_texts_that_share_rare_words_but_differ_beyond_them(docs_of):
+    """Alike at 0.6 to 0.7, each with changes that some others have too: such pairs are not listed one by one."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        tokens = list(base)
+        for place in draw.sample(range(2, 118, 5), 3):
+            tokens[place] = f"other{place}x{draw.randrange(4)}"
+        rows.append((i, " ".join(tokens), "s"))
+    found = near_dup.Duplicates(docs_of(rows))
+    assert sorted(map(tuple, found.classes().collect()), key=str) == brute_classes([r[:2] for r in rows])
+    assert found.folder.read(f"pairs-{near_dup.HUB_ROUNDS}").count() <= len(rows)
+
+
+def test_bits_apart_are_no_more_than_shingles_apart(spark):
+    draw = random.Random(6)
+    sets = [sorted(draw.sample(range(-3000, 3000), draw.choice([0, 1, 5, 60, 2500]))) for _ in range(40)]
+    sets += [sorted({*s, 7, 2**62, -(2**62)} - {s[0]}) for s in sets if s]
+    table = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<bigint>")
+    marked = near_dup.with_parities(table).select("node", "parities")
+    both = marked.toDF("a", "x").crossJoin(marked.toDF("b", "y"))
+    for a, b, n in both.select("a", "b", near_dup._bits_apart(F.col("x"), F.col("y"))).collect():
+        apart = len({*sets[a]} ^ {*sets[b]})
+        assert n <= apart and n % 2 == apart % 2 and (apart > 20 or n >= apart - 10)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
 def test_prefixes_lose_no_pair(spark, similarity):
     """Sets of a band, without any round of single comparisons, against all pairs."""
