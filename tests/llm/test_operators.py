@@ -446,6 +446,20 @@ def test_blocks_are_skipped_without_loss(monkeypatch):
     assert index.skipped > 0
 
 
+def test_texts_are_counted_and_measured_in_one_pass(docs_of, monkeypatch):
+    """Texts are split for the documents and for the queries, not again for their mean length; empty ones count."""
+    calls, split = [], topk.terms
+    monkeypatch.setattr(topk, "terms", lambda text: calls.append(1) or split(text))
+    texts = ["one word and one more", "one other word", None, "", "word", "none of these", "one"]
+    docs = docs_of([(i, text, "s") for i, text in enumerate(texts)])
+    got = {r["doc_id"]: r["score"] for r in topk.search(docs, docs.where("doc_id = 6")).collect()}
+    assert len(calls) == 2
+    idf, mean = math.log(1 + (7 - 3 + 0.5) / (3 + 0.5)), 13 / 7
+    for i, n, length in ((0, 2, 5), (1, 1, 3), (6, 1, 1)):
+        assert abs(got.pop(i) - idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))) < 1e-5
+    assert not got
+
+
 def test_search_ties_and_null_ids(docs_of):
     """A text with a great many copies, and a query without id."""
     rows = [(i, "one same text of words", "s") for i in range(5000, 0, -1)] + [(None, "one same text of words", "s"), (None, "other words", "s")]
