@@ -87,7 +87,8 @@ class _Pairs:
     def __init__(self, edges: DataFrame, workspace: Workspace, measure: tuple[str, ...]):
         self.workspace, self.measure = workspace, measure
         pairs = undirected_pairs(edges, *measure)
-        self.count = workspace.write(pairs, "pairs")["rows"]
+        # In order, since equal ends in a row take little room in the table and when the pairs move again.
+        self.count = workspace.write(pairs.sortWithinPartitions("a", "b"), "pairs")["rows"]
         self.rows = workspace.read("pairs", schema=pairs.schema)
         self.neighbours = both_ways(self.rows, *measure)
 

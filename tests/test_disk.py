@@ -1,5 +1,6 @@
 """What queries send and keep: shuffles freed with their job, lists as bytes, work in turns."""
 
+import os
 import random
 import time
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphslice.operators import neighborhood, views
+from graphslice.operators import centrality, neighborhood, views
 from graphslice.plans import coding, workspace
 from tests import brute
 from tests.test_scale import random_edges
@@ -81,3 +82,45 @@ def test_lists_are_dealt_without_a_join(graph_of, spark, monkeypatch):
     graph = neighborhood._Numbered(graph_of(random_edges(4, [f"u_{i}" for i in range(40)], 90)))
     monkeypatch.setattr(neighborhood.skew, "salted_join", lambda *a: joins.append(a) or join(*a))
     assert neighborhood._within(graph, 2, keep=False).others().count() == graph.numbers.count() and not joins
+
+
+@pytest.mark.parametrize("hot", ["4000000", "50"])
+def test_triangles_in_turns(graph_of, spark, monkeypatch, rows, hot):
+    """Vertices are told in turns, lists in pieces among them, and tables that are done with are deleted."""
+    monkeypatch.setattr(centrality, "PIECE", 4)
+    monkeypatch.setattr(centrality, "ROUND_TOLD", 400)
+    folders, write = {}, workspace.Workspace.write
+
+    def watched(self, df, name, *metrics):
+        folders[name] = self.path(name)
+        return write(self, df, name, *metrics)
+
+    monkeypatch.setattr(workspace.Workspace, "write", watched)
+    spark.conf.set("spark.graphslice.hotRows", hot)
+    core = [(f"u_{i}", f"u_{j}", 1.0, 0.5, 0) for i in range(16) for j in range(i)]
+    edges = core + random_edges(2, [f"u_{i}" for i in range(60)], 150)
+    try:
+        assert dict(rows(centrality.triangle_count(graph_of(edges)))) == brute.triangles(edges)
+    finally:
+        spark.conf.unset("spark.graphslice.hotRows")
+    assert "met-1" in folders
+    assert os.path.exists(folders["numbers"]) and not any(os.path.exists(folders[n]) for n in ("pairs", "degrees", "ahead"))
+
+
+def test_nothing_is_told_to_those_that_point_at_nobody(graph_of, spark, monkeypatch, rows):
+    """Ten hubs joined with all others but not with each other: the lists of the others do not travel to them."""
+    told, sent = [], centrality._sent
+    monkeypatch.setattr(centrality, "_sent", lambda *a: told.append(sent(*a)) or told[-1])
+    drop = workspace.Workspace.drop
+    monkeypatch.setattr(workspace.Workspace, "drop", lambda self, *names: drop(self, *(n for n in names if n != "ahead")))
+    edges = [(f"u_{i}", f"s_{j}", 1.0, 0.5, 0) for i in range(40) for j in range(10)]
+    edges += [(f"u_{i}", f"u_{i + 1}", 1.0, 0.5, 0) for i in range(39)]
+    assert dict(rows(centrality.triangle_count(graph_of(edges)))) == brute.triangles(edges)
+    assert sum(t.count() for t in told) == 39
+
+
+def test_pairs_are_stored_in_order(graph_of, spark):
+    view = views.Undirected(graph_of(random_edges(4, [f"u_{i}" for i in range(50)], 300)), workspace.Workspace(spark, "test"))
+    parts = view.pairs.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    found = [(r.file, r.a, r.b) for r in parts.orderBy("file", "at").collect()]
+    assert found == sorted(found) and len(found) == view.pair_count
