@@ -446,6 +446,20 @@ def test_blocks_are_skipped_without_loss(monkeypatch):
     assert index.skipped > 0
 
 
+def test_weak_lists_are_read_once_where_most_blocks_are_live(monkeypatch):
+    """A floor that a third of the blocks can reach: no block is read by itself before the lists are read from end to end."""
+    monkeypatch.setattr(topk, "BLOCK_DOCS", 8)
+    draw = np.random.default_rng(3)
+    lists = [draw.choice(60, 30).astype(np.int64) for _ in range(400)]
+    index = topk.Index(lists, 30.0, list(range(400)))
+    wanted, weights = np.arange(40), 1.0 + np.arange(40) % 3
+    best, scores = index.search(wanted, weights, 10, 0.0)
+    read, ranges = [], topk._ranges
+    monkeypatch.setattr(topk, "_ranges", lambda *a: read.append(1) or ranges(*a))
+    found, again = index.search(wanted, weights, 10, float(scores[-1]) * 0.9)
+    assert len(read) == 1 and found.tolist() == best.tolist() and again.tolist() == scores.tolist()
+
+
 def test_texts_are_counted_and_measured_in_one_pass(docs_of, monkeypatch):
     """Texts are split for the documents and for the queries, not again for their mean length; empty ones count."""
     calls, split = [], topk.terms
